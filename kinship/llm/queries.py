@@ -17,7 +17,21 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "n_words", "n_hit", "n_items", ids, "contaminated")
 
 
-QUERIES = [op1_decontaminate]
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), 3, (85, 100))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, fold, predict
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text").withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
+    model = fit(docs.where("not held_out"))
+    return predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES = [op1_decontaminate, op6_minhash, op9_langid]
 
 
 def queries() -> dict:
