@@ -110,7 +110,7 @@ class Model:
         return best, p[np.arange(n), best]
 
 
-def learned(x: list[dict], y: np.ndarray, k: int, epochs: int = 12, rate: float = 0.6, batch: int = 32, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def learned(x: list[dict], y: np.ndarray, k: int, epochs: int = 6, rate: float = 0.8, batch: int = 32, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """(embeddings times map, bias) by stochastic gradient descent on the softmax's cross entropy, the rate falling to zero."""
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1, 1, (1 << BITS, DIM)) / DIM
@@ -138,7 +138,7 @@ def learned(x: list[dict], y: np.ndarray, k: int, epochs: int = 12, rate: float
     return emb @ out, bias
 
 
-def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", most: int = 3000, reject_share: float = 0.001) -> Model:
+def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", most: int = 600, reject_share: float = 0.001) -> Model:
     """Fit on the rows of labelled whose lang and text are not null.
 
     most bounds the rows of each language that are looked at: the table is thinned to about that by a hash of the text, which
