@@ -49,3 +49,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def row_key(*columns: str):
     """A 64-bit key of a row, equal for equal values, null-safe. Callers must bear a collision."""
     return F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in columns))
+
+
+def partitions_for(df: DataFrame, mb: int = 24) -> int:
+    """Partitions that hold about mb megabytes of df each by Catalyst's estimate, spark.sql.shuffle.partitions at least."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return int(min(1 << 20, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (mb << 20) if size < 1 << 55 else 0)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import new_path, table
 from .sql import ORACLES
 
 
@@ -17,6 +17,16 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "n_words", "n_hit", "n_items", ids, "contaminated")
 
 
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .tokens import read_tokens, write_tokens
+
+    path = new_path(spark, "token_ids")
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    return read_tokens(spark, path, ids=False)
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
@@ -31,7 +41,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = [op1_decontaminate, op6_minhash, op9_langid]
+QUERIES = [op1_decontaminate, op2_token_ids, op6_minhash, op9_langid]
 
 
 def queries() -> dict:
