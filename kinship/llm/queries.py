@@ -41,7 +41,15 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = [op1_decontaminate, op2_token_ids, op6_minhash, op9_langid]
+def op10_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import read_media, write_media
+
+    path = new_path(spark, "media")
+    write_media(table(spark, sf_dir, "documents"), path)
+    return read_media(spark, path)
+
+
+QUERIES = [op1_decontaminate, op2_token_ids, op6_minhash, op9_langid, op10_webp]
 
 
 def queries() -> dict:
