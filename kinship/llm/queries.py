@@ -27,6 +27,12 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path, ids=False)
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import every_fifth, lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"), every_fifth(F.col("doc_id")))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
@@ -49,7 +55,7 @@ def op10_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_media(spark, path)
 
 
-QUERIES = [op1_decontaminate, op2_token_ids, op6_minhash, op9_langid, op10_webp]
+QUERIES = [op1_decontaminate, op2_token_ids, op3_lm_score, op6_minhash, op9_langid, op10_webp]
 
 
 def queries() -> dict:
