@@ -6,10 +6,11 @@ hash) that came to it, so that each bin is filled for sure, after about one roun
 coordinates agree with a chance of the Jaccard similarity, concentrated as if they were independent.
 
 Documents with equal sets are one class; only classes are compared. Classes that share a band meet in a bucket. No bucket is
-expanded into all its pairs: its least class is compared with all others, on full sets, links are merged into components, and
-only what a bucket still holds of several components is looked at again. Buckets of a few classes are then settled by the pairs
-across components, larger ones by one more centre a round, until every bucket is of one component or all its classes have been
-centres. So every two classes of a bucket end up compared or connected, and nothing is capped.
+expanded into all its pairs: its least class is compared with all others on full sets, links are merged into components, and only
+buckets whose classes are then of several components are looked at again: in each, the classes outside the largest component meet
+one another and that component in tiles of two blocks, as products of matrices, and a tile yields no more links than it joins
+components. So every two classes that share a bucket end up compared or connected, and nothing is capped. The work beyond one
+comparison a class grows with the number of classes that share a bucket without being linked.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from .common import stored
 from .textbytes import combined, mix, pieces, word_hashes
 
 BANDS = 32
-#: A bucket of so many classes at most is settled by pairs at once; larger ones by centres.
-FEW = 40
+#: Classes of a block; two blocks are compared in one task.
+BLOCK, BLOCK_SEED = 512, (1 << 31) - 1
 _ROUND = 0xA0761D6478BD642F
 
 
@@ -91,7 +92,7 @@ def signatures(n: int, row: np.ndarray, h: np.ndarray) -> list[bytes | None]:
     return [both[i].tobytes() if size[i] else None for i in range(n)]
 
 
-def sketches(n: int, row: np.ndarray, h: np.ndarray, t: int) -> np.ndarray:
+def sketches(n: int, row: np.ndarray, h: np.ndarray, t: int, seed: int = 0) -> np.ndarray:
     """n x t coordinates; rows without elements have the largest number."""
     none = np.uint64((1 << 64) - 1)
     out = np.full(n * t, none, np.uint64)
@@ -104,7 +105,7 @@ def sketches(n: int, row: np.ndarray, h: np.ndarray, t: int) -> np.ndarray:
                 break
             keep = todo[row]
             row, h = row[keep], h[keep]
-        x = mix(h + np.uint64(_ROUND * (i + 1) % (1 << 64)))
+        x = mix(h + np.uint64(_ROUND * (seed + i + 1) % (1 << 64)))
         bins = ((x >> np.uint64(32)) * np.uint64(t) >> np.uint64(32)).astype(np.int64) if i < t else np.full(len(x), i - t)
         value = (np.uint64(i) << np.uint64(48)) | (mix(x) >> np.uint64(16))
         np.minimum.at(out, row * t + bins, value)
@@ -116,16 +117,21 @@ def _sketch_batches(k: int, bands: int, r: int):
         for b in batches:
             for at, n, row, h in _sets(b.column(1), k):
                 size = np.bincount(row, minlength=n)[:n]
-                s = sketches(n, row, h, bands * r).reshape(n, bands, r)
-                band = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (n, 1))
-                for j in range(r):
-                    band = combined(band, s[:, :, j])
-                lists = pa.ListArray.from_arrays(np.arange(0, n * bands + 1, bands, dtype=np.int32), pa.array(band.reshape(-1).view(np.int64)))
+                lists = _bands(sketches(n, row, h, bands * r), bands)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), pa.array(size.astype(np.int64)), pa.array(signatures(n, row, h), pa.binary()), lists], ["doc_id", "n", "sig", "bands"])
 
     return run
 
 
+def _bands(coordinates: np.ndarray, bands: int) -> pa.Array:
+    n = len(coordinates)
+    s = coordinates.reshape(n, bands, -1)
+    band = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (n, 1))
+    for j in range(s.shape[2]):
+        band = combined(band, s[:, :, j])
+    return pa.ListArray.from_arrays(np.arange(0, n * bands + 1, bands, dtype=np.int32), pa.array(band.reshape(-1).view(np.int64)))
+
+
 def _set_batches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -153,6 +159,53 @@ def _verified(up: int, down: int):
     return run
 
 
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of some sets have in common: products of slices of the matrix of sets by shared elements."""
+    n = len(sets)
+    row = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often[column] > 1
+    row, column = row[shared], (np.cumsum(often > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((n, n), np.float32)  # whole numbers under 2**24 are exact
+    total = np.zeros((n, n), np.int64)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, (lo, lo + 4096))
+        x = np.zeros((n, 4096), np.float32)
+        x[row[a:b], column[a:b] - lo] = 1
+        np.matmul(x, x.T, out=out)
+        total += out.astype(np.int64)
+    return total
+
+
+def _tile(up: int, down: int):
+    """Links between classes of two blocks that are of different components; of several that join the same components, one."""
+
+    def run(t: pa.Table) -> pa.Table:
+        sig, comp = t.column("sig").to_pylist(), t.column("comp").to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        both = intersections(sets)
+        root = {c: c for c in comp}
+
+        def find(c: bytes) -> bytes:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        links = []
+        for x, y in zip(*np.nonzero(np.triu(down * both >= up * (size[:, None] + size[None, :] - both), 1)), strict=True):
+            a, b = find(comp[x]), find(comp[y])
+            if a != b:
+                root[a] = b
+                links.append((sig[x], sig[y]))
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, comp): the least vertex that each end of an edge (a, b) can reach. Each round takes the least label among a vertex's
     neighbours and then that label's own label, so long chains shorten by half; it ends when no label changes."""
@@ -169,6 +222,18 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (v, comp) after more links: only components that these join are labelled anew."""
+    if not links.take(1):
+        return comp
+    a = comp.select(F.col("v").alias("a"), F.col("comp").alias("ca"))
+    b = comp.select(F.col("v").alias("b"), F.col("comp").alias("cb"))
+    between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    to = components(between.where("a <> b")).select(F.col("comp").alias("to"), F.col("v").alias("comp"))
+    ends = links.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(comp, "v", "left_anti").select("v", F.col("v").alias("comp"))
+    return stored(comp.unionByName(ends).join(to, "comp", "left").select("v", F.coalesce("to", "comp").alias("comp")), "labels")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -189,7 +254,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4
     members = classes.select("sig", "n", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("c"), F.min("sig").alias("hub")).where("c > 1")
     members = stored(members.join(shared, "bucket"), "members")
-    close = F.least("n", "m") * down >= F.greatest("n", "m") * up
     star = members.where("sig <> hub").select(F.col("hub").alias("a"), F.col("sig").alias("b")).distinct()
     # Full sets of the classes that share a bucket, computed again from their texts.
     wanted = members.select("sig").distinct()
@@ -201,26 +265,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4
         full = pairs.join(sets.withColumnsRenamed({"sig": "a", "hashes": "x"}), "a").join(sets.withColumnsRenamed({"sig": "b", "hashes": "y"}), "b")
         return stored(full.select("a", "b", "x", "y").mapInArrow(_verified(up, down), "a binary, b binary"), "links")
 
-    links = linked(star)
-    comp = components(links)
-    # Each hub has met all of its bucket; what is left to compare is the others of a bucket among themselves.
-    left = members.where("sig <> hub").select("bucket", "sig", "n")
-    while True:
-        now = left.join(comp.withColumnRenamed("v", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-        open_ = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.min(F.struct("sig", "comp", "n")).alias("hub")).where("lo <> hi")
-        now = stored(now.join(open_, "bucket"), "open")
-        if not now.take(1):
-            break
-        few = now.where(F.col("c") <= FEW).select("bucket", "sig", "n", "comp")
-        other = few.select("bucket", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"))
-        pairs = few.join(other, "bucket").where(F.col("comp") < F.col("comp_b")).where(close).select(F.col("sig").alias("a"), "b")
-        many = now.where(F.col("c") > FEW)
-        stars = many.where("comp <> hub.comp").withColumn("m", F.col("hub.n")).where(close).select(F.col("hub.sig").alias("a"), F.col("sig").alias("b"))
-        fresh = linked(pairs.unionByName(stars).distinct())
-        left = many.where("sig <> hub.sig").select("bucket", "sig", "n")
-        if fresh.take(1):
-            links = stored(links.unionByName(fresh), "links")
-            comp = components(links)
+    comp = components(linked(star))
+    # Each hub has met all of its bucket; what is left to compare is the others of a bucket that are of several components. Those
+    # outside the bucket's largest component meet each other and that component, in tiles of two blocks of classes.
+    now = members.where("sig <> hub").select("bucket", "sig").join(comp.withColumnRenamed("v", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    by = stored(now.groupBy("bucket", "comp").agg(F.count("*").alias("c")), "mixed")
+    by = by.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("c")).where("main.c < c")
+    now = now.join(by, "bucket")
+    place = F.abs(F.xxhash64("sig") % BLOCK_SEED)
+    main, rest = F.ceil(F.col("main.c") / BLOCK).cast("int"), F.ceil((F.col("c") - F.col("main.c")) / BLOCK).cast("int")
+    own = F.when(F.col("comp") == F.col("main.comp"), -1 - place % main).otherwise(place % rest).cast("int")
+    others = F.sequence(F.lit(0), rest - 1)
+    tiles = F.when(F.col("own") < 0, F.transform(others, lambda j: F.struct(F.col("own").alias("i"), j.alias("j")))).otherwise(
+        F.concat(
+            F.transform(others, lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))),
+            F.transform(F.sequence(F.lit(1), main), lambda i: F.struct((-i).alias("i"), F.col("own").alias("j"))),
+        )
+    )
+    tiled = now.withColumn("own", own).select("bucket", "sig", "comp", F.explode(tiles).alias("tile")).select("bucket", "tile.i", "tile.j", "sig", "comp")
+    # Alone in its tile or with its own component only, a class has none to meet.
+    mixed = tiled.groupBy("bucket", "i", "j").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    tiled = tiled.join(stored(mixed, "tiles"), ["bucket", "i", "j"]).join(sets, "sig")
+    links = tiled.groupBy("bucket", "i", "j").applyInArrow(_tile(up, down), "a binary, b binary")
+    comp = merged(comp, stored(links.distinct(), "links"))
     root = classes.select("sig", "doc_id").join(comp.withColumnRenamed("v", "sig"), "sig").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     to = classes.select("sig", "doc_id").join(comp.withColumnRenamed("v", "sig"), "sig", "left").join(root, "comp", "left").select("sig", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(stored(to, "roots"), "sig", "left")
