@@ -33,12 +33,39 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"), every_fifth(F.col("doc_id")))
 
 
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import copies, plan
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return copies(docs, plan(docs)).select("doc_id", "source", F.col("__tokens").alias("n_tokens"), F.col("__copies").alias("copies"))
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import formatted
+
+    return formatted(table(spark, sf_dir, "conversations"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), 3, (85, 100))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import page_digests, write_warc
+
+    path = new_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    return page_digests(spark, path)
+
+
+def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit, fold, predict
 
@@ -55,7 +82,18 @@ def op10_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_media(spark, path)
 
 
-QUERIES = [op1_decontaminate, op2_token_ids, op3_lm_score, op6_minhash, op9_langid, op10_webp]
+QUERIES = [
+    op1_decontaminate,
+    op2_token_ids,
+    op3_lm_score,
+    op4_mix,
+    op5_chat,
+    op6_minhash,
+    op7_warc,
+    op8_license,
+    op9_langid,
+    op10_webp,
+]
 
 
 def queries() -> dict:

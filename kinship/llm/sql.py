@@ -28,3 +28,58 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(p.n_hit, 0)
        coalesce(p.n_hit, 0) > 0 AND 20 * coalesce(p.n_hit, 0) >= len(d.w) AS contaminated
 FROM dw d LEFT JOIN pos p USING (doc_id) LEFT JOIN items i USING (doc_id)
 """
+
+ORACLES["op5_chat"] = r"""
+-- The table has no tool calls: a message with some would need more than this.
+SELECT conv_id, turn, role, 0 AS level, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_linked, CAST(0 AS BIGINT) AS n_errors,
+       CAST(CASE WHEN text IS NULL THEN json_object('role', role) ELSE json_object('content', text, 'role', role) END AS VARCHAR) AS message
+FROM conversations
+"""
+
+ORACLES["op7_warc"] = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (
+  SELECT page_id, octet_length(payload) AS n, sha1(payload) AS h, min(page_id) OVER (PARTITION BY payload) AS first FROM p),
+b AS (
+  SELECT page_id, n, first,
+         list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + CAST((CAST(('0x' || substr(h, 1 + 5 * (i // 4), 5)) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)), 'string_agg', '') AS digest
+  FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM b
+"""
+
+
+def _license_sql() -> str:
+    from .licenses import TEMPLATES
+
+    values = ", ".join("(" + str(i) + ", '" + x + "', '" + n.replace("'", "''") + "')" for i, (x, n) in enumerate(TEMPLATES))
+    return rf"""
+WITH t AS (
+  SELECT template, license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b
+  FROM (SELECT column0 AS template, column1 AS license, regexp_extract_all(lower(column2), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM (VALUES {values}) v(column0, column1, column2))),
+parts AS (
+  SELECT doc_id, part, s FROM (
+    SELECT doc_id, unnest(l) AS s, unnest(range(len(l))) AS part
+    FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|[\r\n]') AS l FROM documents WHERE text IS NOT NULL))
+  UNION ALL
+  SELECT doc_id, -1 - part, s FROM (
+    SELECT doc_id, unnest(l) AS s, unnest(range(len(l))) AS part
+    FROM (SELECT doc_id, regexp_split_to_array(text, '(\r\n|[\r\n])[ \t]*(\r\n|[\r\n])\s*') AS l FROM documents WHERE text IS NOT NULL))
+  WHERE regexp_matches(s, '[\r\n]')),
+p AS (
+  SELECT doc_id, part, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b
+  FROM (SELECT doc_id, part, regexp_extract_all(lower(s), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM parts) WHERE len(w) BETWEEN 2 AND 100),
+m AS (
+  SELECT doc_id, part, license, max(2 * len(list_intersect(p.b, t.b)) / (len(p.b) + len(t.b))) AS dice
+  FROM p JOIN t ON 5 * 2 * len(list_intersect(p.b, t.b)) >= 4 * (len(p.b) + len(t.b)) GROUP BY ALL),
+g AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, max(dice) AS dice FROM m GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_matches, coalesce(licenses, '') AS licenses, coalesce(dice, 0.0) AS best_dice
+FROM documents d LEFT JOIN g USING (doc_id)
+"""
+
+
+ORACLES["op8_license"] = _license_sql()
