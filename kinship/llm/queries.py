@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,16 +98,8 @@ QUERIES = [
 
 
 def queries() -> dict:
-    out = {f.__name__: f for f in QUERIES}
-    try:
-        import corpus_pipeline
-    except ModuleNotFoundError as e:
-        if e.name != "corpus_pipeline":
-            raise
-    else:
-        out["pipeline"] = corpus_pipeline.run
-    return out
+    return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
