@@ -45,7 +45,7 @@ def mined_rewrites(pairs: DataFrame, support: int = 10, confidence: float = 0.6)
     """(t_token, s_token, n, confidence) from true pairs (s_tokens, t_tokens) that differ in one token on each side: how often a target's
     token stands for a source's."""
     s, t = F.array_except("s_tokens", "t_tokens"), F.array_except("t_tokens", "s_tokens")
-    one = pairs.select(s.alias("s"), t.alias("t")).where((F.size("s") == 1) & (F.size("t") == 1)).select(F.col("s")[0].alias("s_token"), F.col("t")[0].alias("t_token"))
+    one = pairs.select(s.alias("s"), t.alias("t")).where((F.size("s") == 1) & (F.size("t") == 1)).select(F.get("s", F.lit(0)).alias("s_token"), F.get("t", F.lit(0)).alias("t_token"))
     n = one.groupBy("t_token", "s_token").agg(F.count("*").alias("n"))
     total = n.groupBy("t_token").agg(F.sum("n").alias("total"))
     return n.join(total, "t_token").withColumn("confidence", F.col("n") / F.col("total")).where((F.col("n") >= support) & (F.col("confidence") >= confidence)).drop("total")

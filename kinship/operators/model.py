@@ -34,10 +34,10 @@ def sample_entities(entities: DataFrame, n: int, seed: int = 42) -> DataFrame:
 def train(labelled: DataFrame, valid: DataFrame | None = None, features: list[str] = FEATURES, iterations: int = 60, step: float = 0.08, depth: int = 6, seed: int = 42) -> PipelineModel:
     """Fit on labelled (features, label). valid (entity_id, held_out) tells the entities on which training stops early."""
     data = labelled.withColumn("label", F.col("label").cast("double"))
-    gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=iterations, stepSize=step, maxDepth=depth, minInstancesPerNode=20, subsamplingRate=0.8, featureSubsetStrategy="0.9", seed=seed)
+    gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=iterations, stepSize=step, maxDepth=depth, minInstancesPerNode=20, subsamplingRate=0.8, featureSubsetStrategy="0.9", validationTol=0.001, seed=seed)
     if valid is not None:
         data = data.join(valid.select(F.col("entity_id").alias("s1_id"), "held_out"), "s1_id")
-        gbt = gbt.setValidationIndicatorCol("held_out").setValidationTol(0.001)
+        gbt = gbt.setValidationIndicatorCol("held_out")
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), gbt]).fit(data)
 
 

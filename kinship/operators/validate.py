@@ -36,7 +36,7 @@ def findings(lines: DataFrame, required: DataFrame | None = None, known: DataFra
     rows = lines.where(F.trim("value") != "")
     good = rows.where(F.col("value").contains("\t"))
     parts = F.split("value", "\t", 2)
-    lists = good.select(parts[0].alias("s1_id"), F.filter(F.split(parts[1], ","), lambda x: x != "").alias("ids"))
+    lists = good.select(parts[0].alias("s1_id"), F.filter(F.split(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), ","), lambda x: x != "").alias("ids"))
     mine = lambda x: x.startswith("S1-")
     of = lambda df, rule: df.select(F.lit(rule).alias("rule"), "s1_id")
     out = of(rows.where(~F.col("value").contains("\t")).select(F.trim("value").alias("s1_id")), "malformed")
@@ -84,7 +84,7 @@ def validate(spark: SparkSession, matches: str, candidates: str | None, required
         for r in found.select("rule", "n", F.slice("ids", 1, EXAMPLES).alias("ids")).orderBy("rule").collect():
             report.errors.append(f"{path}: {r['rule']} in {r['n']} rows, as {', '.join(r['ids'])}")
         parts = F.split("value", "\t", 2)
-        pairs.append(lines.where(F.col("value").contains("\t")).select(parts[0].alias("s1_id"), F.explode(F.split(parts[1], ",")).alias("tgt_id")).where("tgt_id <> ''"))
+        pairs.append(lines.where(F.col("value").contains("\t")).select(parts[0].alias("s1_id"), F.explode(F.split(F.get(parts, F.lit(1)), ",")).alias("tgt_id")).where("tgt_id <> ''"))
     if len(pairs) == 2:
         out = pairs[0].join(pairs[1], ["s1_id", "tgt_id"], "left_anti").select("s1_id").distinct()
         if n := out.count():

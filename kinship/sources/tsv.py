@@ -68,7 +68,7 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     if bad:
         raise FieldCountError(f"{path}: no tab in {bad[0][0][:80]!r}")
     parts = F.split("value", "\t", 2)
-    return lines.select(F.trim(parts[0]).alias("s1_id"), pieces(parts[1]).alias("matched"))
+    return lines.select(F.trim(parts[0]).alias("s1_id"), pieces(F.get(parts, F.lit(1))).alias("matched"))
 
 
 def truth_pairs(truth: DataFrame) -> DataFrame:
