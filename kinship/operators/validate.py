@@ -55,19 +55,20 @@ def findings(lines: DataFrame, required: DataFrame | None = None, known: DataFra
 
 
 def read_lines(spark: SparkSession, path: str, columns: list[str]) -> tuple[DataFrame | None, str | None]:
-    """The lines of a file after its header, or what is fatally wrong with it."""
+    """The lines of a file, or folder of parts, after its header, or what is fatally wrong with it. Parts are read in any order."""
+    lines = F.lower("value") == "\t".join(columns)
     try:
-        first = spark.read.text(path).limit(1).collect()
+        found = spark.read.text(path).agg(F.count("*").alias("n"), F.count_if(lines).alias("heads")).first()
     except Exception as e:  # noqa: BLE001 - the file system's own error for a path that is not there
         if "PATH_NOT_FOUND" in str(e):
             return None, f"{path}: no such file"
         raise
-    if not first:
+    if not found["n"]:
         return None, f"{path}: empty"
-    head = first[0][0].lower()
-    if head.split("\t") != columns:
-        return None, f"{path}: header has commas, not tabs" if head.split(",") == columns else f"{path}: header {first[0][0]!r}, expected {columns}"
-    return spark.read.text(path).where(F.lower("value") != "\t".join(columns)), None
+    if not found["heads"]:
+        first = spark.read.text(path).first()[0]
+        return None, f"{path}: header has commas, not tabs" if first.lower().split(",") == columns else f"{path}: header {first[:80]!r}, expected {columns}"
+    return spark.read.text(path).where(~lines), None
 
 
 def validate(spark: SparkSession, matches: str, candidates: str | None, required: DataFrame, known: DataFrame | None = None) -> Report:
