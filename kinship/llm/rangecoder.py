@@ -9,8 +9,11 @@ A block is coded as many lanes side by side, each lane a run of the block's ids
 models. Each step codes one id of every lane, with the models as they stood before the step, so numpy handles a step at once. Models
 begin anew with each block.
 
-Block: magic KTB1; then as little-endian u32: ids, lanes, size of the vocabulary, crc32 of the ids, crc32 of what follows; the number
-of 16-bit words of each lane as u16 or u32 (u32 where lanes have over 16384 steps); the words of all lanes.
+The ids that a block has are its alphabet; inside, ids are places in it.
+
+Block: magic KTB2; then as little-endian u32: ids, lanes, size of the alphabet, bytes of the packed alphabet, crc32 of the ids, crc32
+of what follows; the alphabet's differences as u32, packed by zlib; the number of 16-bit words of each lane as u16 or u32 (u32 where
+lanes have over 16384 steps); the words of all lanes.
 """
 
 from __future__ import annotations
@@ -20,13 +23,17 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"KTB1"
-_HEAD = struct.Struct("<4sIIIII")
+MAGIC = b"KTB2"
+_HEAD = struct.Struct("<4sIIIIII")
 LANES, STEPS = 4096, 256
 #: Ids that share a block, unless one document has more.
 BLOCK = LANES * STEPS
 _HASH, _FLAG, _ID = 18, 12, 22
+#: Units of an id's probability that share an entry of the table by which it is found.
+_COARSE = 8
 _U = np.uint64
+#: The next confidence, by whether the predictor was right and the confidence.
+_STEP = np.array([[0, 0, 1, 1, 2, 2, 3, 3], [1, 2, 3, 4, 5, 6, 7, 7]], np.int8)
 _LOW32, _MIN = _U(0xFFFFFFFF), _U(1 << 32)
 
 
@@ -37,113 +44,139 @@ class CorruptBlock(ValueError):
 class _Model:
     """What both directions know before a step."""
 
-    def __init__(self, lanes: int, vocabulary: int):
-        self.pred1, self.sure1 = np.zeros(vocabulary + 1, np.int32), np.zeros(vocabulary + 1, np.int8)
+    def __init__(self, lanes: int, size: int, decodes: bool):
+        self.pred1, self.sure1 = np.zeros(size + 1, np.int32), np.zeros(size + 1, np.int8)
         self.pred2, self.sure2 = np.zeros(1 << _HASH, np.int32), np.zeros(1 << _HASH, np.int8)
-        self.last = np.full(lanes, vocabulary, np.int64)  # no id yet
+        self.last = np.full(lanes, size, np.int32)  # no id yet
         self.before = self.last.copy()
         self.share = np.ones((64, 3), np.int64)
         self.share[:, 2] = 3
-        self.count = np.zeros(vocabulary, np.int64)
-        self.seen, self.due = 0, 0
+        self.count = np.zeros(size, np.int64)
+        self.seen, self.due, self.fresh = 0, 0, []
+        self.decodes = decodes
         self._tables()
         self._counts()
 
     def _tables(self) -> None:
         total = self.share.sum(1)
-        big = total > 1 << 16
-        if big.any():
+        if (total > 1 << 16).any():
+            big = total > 1 << 16
             self.share[big] = (self.share[big] + 1) >> 1
             total = self.share.sum(1)
         f = 1 + self.share[:, :2] * ((1 << _FLAG) - 3) // total[:, None]
-        self.to2 = f[:, 0].astype(np.uint64)
-        self.to1 = (f[:, 0] + f[:, 1]).astype(np.uint64)
+        # Where the interval of each predictor begins in a context, by context and predictor, and how wide it is.
+        self.begin = np.zeros((64, 4), np.uint64)
+        self.begin[:, 1] = f[:, 0]
+        self.begin[:, 2] = f[:, 0] + f[:, 1]
+        self.begin[:, 3] = 1 << _FLAG
+        self.to2, self.to1 = self.begin[:, 1].copy(), self.begin[:, 2].copy()
+        self.begin = self.begin.reshape(-1)
 
     def _counts(self) -> None:
-        v = len(self.count)
+        for x in self.fresh:
+            self.count += np.bincount(x, minlength=len(self.count))
+        self.fresh = []
+        v, total = len(self.count), int(self.count.sum())
         # An eighth of the scale, or one unit an id, for ids not seen yet; the rest by counts.
-        floor = max(1, (1 << _ID) // 8 // max(v, 1)) if self.seen else (1 << _ID) // v
+        floor = max(1, (1 << _ID) // 8 // max(v, 1)) if total else (1 << _ID) // v
         rest = (1 << _ID) - floor * v
-        f = floor + (self.count * rest // self.seen if self.seen else 0)
+        f = floor + (self.count * rest // total if total else 0)
         self.cum = np.zeros(v + 1, np.uint64)
-        self.cum[1:] = np.cumsum(np.broadcast_to(f, v))
+        np.cumsum(np.broadcast_to(f, v), out=self.cum[1:].view(np.int64))
+        if self.decodes:
+            self.near = np.searchsorted(self.cum, np.arange(0, 1 << _ID, 1 << _COARSE, dtype=np.uint64), "right").astype(np.int32) - 1
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """The id in whose interval each number lies."""
+        out = self.near[(x >> _U(_COARSE)).astype(np.int64)]
+        todo = np.flatnonzero((self.cum[out + 1] <= x) & (out < len(self.count) - 1))
+        for _ in range(3):
+            if not len(todo):
+                return out
+            out[todo] += 1
+            todo = todo[(self.cum[out[todo] + 1] <= x[todo]) & (out[todo] < len(self.count) - 1)]
+        out[todo] = np.minimum(np.searchsorted(self.cum, x[todo], "right") - 1, len(self.count) - 1)
+        return out
 
     def look(self) -> None:
-        self.key = ((self.before * 0x9E3779B1 + self.last * 0x85EBCA77) >> 7) & ((1 << _HASH) - 1)
+        self.key = ((self.before * np.int32(-1640531535) + self.last * np.int32(-2048144777)).view(np.uint32) >> np.uint32(32 - _HASH)).astype(np.int32)
         self.p1, self.p2 = self.pred1[self.last], self.pred2[self.key]
         self.s1, self.s2 = self.sure1[self.last], self.sure2[self.key]
-        self.ctx = (self.s2.astype(np.int64) << 3) | self.s1
-        self.q2, self.q1 = self.to2[self.ctx], self.to1[self.ctx]
+        self.ctx = (self.s2 << 3) | self.s1
 
-    def learn(self, ids: np.ndarray, which: np.ndarray, literals: np.ndarray) -> None:
+    def learn(self, ids: np.ndarray, right1: np.ndarray, right2: np.ndarray, which: np.ndarray, literals: np.ndarray) -> None:
         """which: 0, 1 or 2, for order 2, order 1, order 0."""
-        np.add.at(self.share.reshape(-1), self.ctx * 3 + which, 24)
-        for pred, sure, at, p, s in ((self.pred1, self.sure1, self.last, self.p1, self.s1), (self.pred2, self.sure2, self.key, self.p2, self.s2)):
-            hit = p == ids
-            sure[at] = np.where(hit, np.minimum(s + 1, 7), s >> 1)
-            new = ~hit & (s < 2)
+        self.share += 24 * np.bincount(self.ctx * np.int16(3) + which, minlength=192).reshape(64, 3)
+        for pred, sure, at, hit, s in ((self.pred1, self.sure1, self.last, right1, self.s1), (self.pred2, self.sure2, self.key, right2, self.s2)):
+            sure[at] = _STEP[hit.view(np.int8), s]
+            new = np.flatnonzero(~hit & (s < 2))
             pred[at[new]] = ids[new]
         if len(literals):
-            np.add.at(self.count, literals, 1)
+            self.fresh.append(literals)
             self.seen += len(literals)
         self.before, self.last = self.last, ids
         self._tables()
         if self.seen >= self.due:
             self._counts()
-            self.due = self.seen + max(1 << 12, self.seen // 16)
+            self.due = self.seen + max(1 << 13, self.seen // 12)
 
 
 def encode(ids: np.ndarray) -> bytes:
-    """One block. ids: integers from 0 to 2**20."""
+    """One block. ids: integers from 0 to 2**32 - 1, 2**21 different ones at most."""
     ids = np.asarray(ids, np.int64)
     n = len(ids)
-    vocabulary = int(ids.max()) + 1 if n else 1
-    if n and ids.min() < 0 or vocabulary > 1 << 20:
-        raise ValueError("ids must be from 0 to 2**20 - 1")
+    if n and (ids.min() < 0 or ids.max() >= 1 << 32):
+        raise ValueError("ids must be from 0 to 2**32 - 1")
+    if n and ids.max() < 1 << 20:
+        alphabet = np.flatnonzero(np.bincount(ids))
+        place = np.zeros(int(ids.max()) + 1, np.int32)
+        place[alphabet] = np.arange(len(alphabet))
+        inner = place[ids]
+    else:
+        alphabet, inner = np.unique(ids, return_inverse=True)
+    if len(alphabet) > 1 << 21:
+        raise ValueError("a block holds 2**21 different ids at most")
     lanes = max(1, min(LANES, -(-n // 64)))
     steps = -(-n // lanes)
-    grid = np.zeros(lanes * steps, np.int64)
-    grid[:n] = ids
+    grid = np.zeros(lanes * steps, np.int32)
+    grid[:n] = inner
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
-    model = _Model(lanes, vocabulary)
+    model = _Model(lanes, max(1, len(alphabet)), False)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
-    words = np.zeros((steps * 4 + 4, lanes), np.uint32)  # a word may hold a carry until the end
+    words = np.zeros((steps * 3 + 4, lanes), np.uint32)  # a word may hold a carry until the end
     used = np.zeros(lanes, np.int64)
 
     def emit(at: np.ndarray) -> None:
         x = low[at]
-        words[used[at], at] = (x >> _U(32)).astype(np.uint32)
+        words[used[at], at] = x >> _U(32)
         used[at] += 1
         low[at] = (x & _LOW32) << _U(16)
         width[at] <<= _U(16)
 
-    def shift() -> None:
-        for _ in range(2):
-            at = np.flatnonzero(width <= _MIN)
-            if not len(at):
-                return
-            emit(at)
-
     for step in range(steps):
         now = grid[step]
         model.look()
         right2, right1 = model.p2 == now, model.p1 == now
-        which = np.where(right2, 0, np.where(right1, 1, 2))
+        which = np.where(right2, np.int8(0), np.where(right1, np.int8(1), np.int8(2)))
+        place = model.ctx.astype(np.int16) * np.int16(4) + which
         unit = width >> _U(_FLAG)
-        begin = np.where(right2, _U(0), np.where(right1, model.q2, model.q1))
-        end = np.where(right2, model.q2, np.where(right1, model.q1, _U(1 << _FLAG)))
+        begin = model.begin[place]
         low += begin * unit
-        width = (end - begin) * unit
-        shift()
+        width = (model.begin[place + 1] - begin) * unit
+        if len(at := np.flatnonzero(width <= _MIN)):
+            emit(at)
         lit = np.flatnonzero(which == 2)
+        x = now[lit]
         if len(lit):
-            x = now[lit]
             unit = width[lit] >> _U(_ID)
             begin = model.cum[x]
             low[lit] += begin * unit
-            width[lit] = (model.cum[x + 1] - begin) * unit
-            shift()
-        model.learn(now, which, now[lit])
+            width[lit] = w = (model.cum[x + 1] - begin) * unit
+            if len(at := lit[w <= _MIN]):
+                emit(at)
+                if len(at := at[width[at] <= _MIN]):
+                    emit(at)
+        model.learn(now, right1, right2, which, x)
     everyone = np.arange(lanes)
     for _ in range(3 if steps else 0):
         emit(everyone)
@@ -153,66 +186,73 @@ def encode(ids: np.ndarray) -> bytes:
         words[i] = w & np.uint32(0xFFFF)
         carry = w >> np.uint32(16)
     kind = "<u2" if steps <= 16384 else "<u4"
-    body = used.astype(kind).tobytes() + words.T[np.arange(words.shape[0])[None, :] < used[:, None]].astype("<u2").tobytes()
-    return _HEAD.pack(MAGIC, n, lanes, vocabulary, zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body)) + body
+    table = zlib.compress(np.diff(alphabet, prepend=0).astype("<u4").tobytes(), 6)
+    body = table + used.astype(kind).tobytes() + words.T[np.arange(words.shape[0])[None, :] < used[:, None]].astype("<u2").tobytes()
+    return _HEAD.pack(MAGIC, n, lanes, len(alphabet), len(table), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body)) + body
 
 
 def decode(block: bytes) -> np.ndarray:
     """The ids of a block, as unsigned 32-bit integers."""
     if len(block) < _HEAD.size:
         raise CorruptBlock("the block is shorter than its header")
-    magic, n, lanes, vocabulary, crc_ids, crc_body = _HEAD.unpack_from(block)
+    magic, n, lanes, size, packed, crc_ids, crc_body = _HEAD.unpack_from(block)
     body = memoryview(block)[_HEAD.size :]
     if magic != MAGIC or zlib.crc32(body) != crc_body or not lanes:
         raise CorruptBlock("the block's header or checksum is wrong")
+    alphabet = np.cumsum(np.frombuffer(zlib.decompress(body[:packed]), "<u4"), dtype=np.uint32)
+    if len(alphabet) != size:
+        raise CorruptBlock("the alphabet has not the size that the header tells")
+    body = body[packed:]
     steps = -(-n // lanes)
     kind = "<u2" if steps <= 16384 else "<u4"
-    size = np.dtype(kind).itemsize * lanes
-    used = np.frombuffer(body[:size], kind).astype(np.int64)
-    words = np.append(np.frombuffer(body[size:], "<u2"), np.zeros(4, "<u2")).astype(np.uint64)
+    first = np.dtype(kind).itemsize * lanes
+    used = np.frombuffer(body[:first], kind).astype(np.int64)
+    words = np.append(np.frombuffer(body[first:], "<u2"), np.zeros(4 + 3 * lanes, "<u2")).astype(np.uint64)
     at = np.cumsum(used) - used
-    model = _Model(lanes, vocabulary)
+    model = _Model(lanes, max(1, size), True)
     width = np.full(lanes, 1 << 48, np.uint64)
     rest = np.zeros(lanes, np.uint64)
     for _ in range(3 if steps else 0):
         rest = (rest << _U(16)) | words[at]
         at += 1
-    out = np.zeros((steps, lanes), np.int64)
-    last = len(words) - 1
-
-    def shift() -> None:
-        for _ in range(2):
-            x = np.flatnonzero(width <= _MIN)
-            if not len(x):
-                return
-            rest[x] = (rest[x] << _U(16)) | words[np.minimum(at[x], last)]
-            at[x] += 1
-            width[x] <<= _U(16)
+    out = np.zeros((steps, lanes), np.int32)
+
+    def take(x: np.ndarray) -> None:
+        k = at[x]
+        rest[x] = (rest[x] << _U(16)) | words[k]
+        at[x] = k + 1
+        width[x] <<= _U(16)
 
     for step in range(steps):
         model.look()
         unit = width >> _U(_FLAG)
-        to2, to1 = model.q2 * unit, model.q1 * unit
-        is2, below1 = rest < to2, rest < to1
-        which = np.where(is2, 0, np.where(below1, 1, 2))
-        begin = np.where(is2, _U(0), np.where(below1, to2, to1))
-        rest -= begin
-        width = np.where(is2, to2, np.where(below1, to1, unit << _U(_FLAG))) - begin
-        shift()
-        now = np.where(is2, model.p2, model.p1).astype(np.int64)
+        to2, to1 = model.to2[model.ctx] * unit, model.to1[model.ctx] * unit
+        is2, is1 = rest < to2, rest < to1  # is1: order 1 or 2
+        which = np.int8(2) - is1.view(np.int8) - is2.view(np.int8)
+        place = model.ctx.astype(np.int16) * np.int16(4) + which
+        begin = model.begin[place]
+        rest -= begin * unit
+        width = (model.begin[place + 1] - begin) * unit
+        if len(x := np.flatnonzero(width <= _MIN)):
+            take(x)
+        now = np.where(is2, model.p2, model.p1)
         lit = np.flatnonzero(which == 2)
+        x = now[:0]
         if len(lit):
             unit = width[lit] >> _U(_ID)
             r = rest[lit]
-            x = np.searchsorted(model.cum, np.minimum(r // unit, _U((1 << _ID) - 1)), "right") - 1
+            x = model.find(np.minimum(r // unit, _U((1 << _ID) - 1)))
             begin = model.cum[x]
             rest[lit] = r - begin * unit
-            width[lit] = (model.cum[x + 1] - begin) * unit
-            shift()
+            width[lit] = w = (model.cum[x + 1] - begin) * unit
+            if len(k := lit[w <= _MIN]):
+                take(k)
+                if len(k := k[width[k] <= _MIN]):
+                    take(k)
             now[lit] = x
-        model.learn(now, which, now[lit])
+        model.learn(now, model.p1 == now, model.p2 == now, which, x)
         out[step] = now
-    ids = out.T.reshape(-1)[:n].astype("<u4")
+    ids = alphabet[out.T.reshape(-1)[:n]].astype("<u4") if n else np.zeros(0, "<u4")
     if zlib.crc32(ids.tobytes()) != crc_ids:
         raise CorruptBlock("the decoded ids don't have the block's checksum")
     return ids

@@ -29,7 +29,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_known: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of a number modulo 2**64; those for pieces of texts are kept."""
+    have = _known.get(base, np.zeros(0, np.uint64))
+    if n <= len(have):
+        return have[:n]
+    out = _more_powers(base, n)
+    if n <= 1 << 23:
+        _known[base] = out
+    return out
+
+
+def _more_powers(base: int, n: int) -> np.ndarray:
     out = np.empty(n, np.uint64)
     out[0] = 1
     done = 1
@@ -74,12 +88,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     stop[edges] = True
     stops = np.flatnonzero(stop)
     ends = stops[np.searchsorted(stops, starts, "right")]
+    return span_hashes(LOWER[data], starts, ends), np.searchsorted(offsets, starts, "right") - 1
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each span of bytes."""
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
-    np.cumsum(_BYTE[LOWER[data]] * _powers(_ODD, len(data)), out=total[1:])
+    np.cumsum(_BYTE[data] * _powers(_ODD, len(data)), out=total[1:])
     back = _powers(pow(_ODD, -1, 1 << 64), len(data))
-    h = mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
-    return h, np.searchsorted(offsets, starts, "right") - 1
+    return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
 def combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:

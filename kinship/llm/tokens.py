@@ -20,76 +20,201 @@ from pyspark.sql import functions as F
 
 from .common import partitions_for
 from .rangecoder import BLOCK, decode, encode
+from .textbytes import pieces, span_hashes
 
 RECORD = "part int, before long, doc_id array<long>, n_tokens array<long>, blocks array<binary>"
 
 
+_LETTER, _DIGIT, _SPACE, _OTHER = range(4)
+
+
+def _classes() -> np.ndarray:
+    """The class of each byte of plain text; all bytes past ASCII are of letters there."""
+    out = np.full(256, _OTHER, np.int8)
+    out[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
+    out[48:58] = _DIGIT
+    out[[9, 10, 13, 32]] = _SPACE
+    return out
+
+
+_CLASS = _classes()
+
+
+def cut(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces begin in plain texts that lie one after the other: what the pattern of byte-level BPE,
+
+        's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+,
+
+    finds, worked out for all bytes at once: runs of a class, where the last space of a run of white space goes to what follows it, or
+    stands alone if it is no blank, and an apostrophe alone takes the letters of a contraction."""
+    n = len(data)
+    kind = _CLASS[data]
+    edge = np.zeros(n + 1, bool)  # where a text begins or ends
+    edge[offsets] = True
+    start = edge[:n].copy()
+    start[1:] |= kind[1:] != kind[:-1]
+    # The last white space before something else of the same text.
+    last = np.flatnonzero((kind[:-1] == _SPACE) & (kind[1:] != _SPACE) & ~edge[1:n]) if n else np.zeros(0, np.int64)
+    start[last] = True
+    start[last + 1] = data[last] != 32
+    # An apostrophe that is a run by itself, and begins a piece, before letters.
+    mark = np.flatnonzero((data[:-1] == 39) & start[:-1] & (kind[1:] == _LETTER) & ~edge[1:n]) if n else last
+    if len(mark):
+        one, two = data[mark + 1], data[np.minimum(mark + 2, n - 1)]
+        inside = (mark + 2 < n) & ~edge[np.minimum(mark + 2, n)]
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        long = inside & (((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108))
+        for m, size in ((mark[short], 2), (mark[long], 3)):
+            start[m + 1] = False
+            after = m + size
+            start[after[after < n]] = True
+    return np.flatnonzero(start)
+
+
+class _Table:
+    """64-bit keys to numbers from 0 on, in open addressing, many at a time."""
+
+    def __init__(self, bits: int = 21):
+        self.bits, self.key, self.number, self.n = bits, np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32), 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 if it has none."""
+        mask = np.int64((1 << self.bits) - 1)
+        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = self.number[slot]
+        todo = np.flatnonzero((out >= 0) & (self.key[slot] != keys))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & mask
+            out[todo] = self.number[slot[todo]]
+            todo = todo[(out[todo] >= 0) & (self.key[slot[todo]] != keys[todo])]
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Number new, distinct keys."""
+        if (self.n + len(keys)) * 2 > 1 << self.bits:
+            old = self.key[self.number >= 0][np.argsort(self.number[self.number >= 0])]
+            while (self.n + len(keys)) * 2 > 1 << self.bits:
+                self.bits += 1
+            self.key, self.number, self.n = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32), 0
+            self.add(old)
+        mask = np.int64((1 << self.bits) - 1)
+        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        todo = np.arange(len(keys))
+        while len(todo):
+            free = todo[self.number[slot[todo]] < 0]
+            self.number[slot[free]] = free + self.n  # of several, the last stays
+            done = free[self.number[slot[free]] == free + self.n]
+            self.key[slot[done]] = keys[done]
+            left = np.ones(len(keys), bool)
+            left[done] = False
+            todo = todo[left[todo]]
+            slot[todo] = (slot[todo] + 1) & mask
+        self.n += len(keys)
+
+
 class ByteBpe:
     """Ids of texts by a byte-level BPE file of the tokenizers library.
 
-    The tokenizer first cuts a text by a fixed pattern and then merges bytes inside a piece, so a text's ids are those of its
-    pieces in a row. Pieces repeat, so each is given to the library once and its ids are kept, at most `most` of them. Texts with
-    characters outside printable ASCII, tab, newline and Latin letters up to U+024F, of which two libraries' Unicode tables might
-    think differently, go to the library whole.
+    The tokenizer first cuts a text by a fixed pattern and then merges bytes inside a piece, so a text's ids are those of its pieces
+    in a row. Pieces repeat, so each distinct one, told by a 64-bit hash, is given to the library once; the ids of at most `most` of
+    them are kept. Texts with characters outside printable ASCII, tab, newlines and Latin letters up to U+024F, of which two
+    libraries' Unicode tables might think differently, go to the library whole.
     """
 
-    PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
     PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-ɏ]*")
 
-    class _Numbers(dict):
-        def __init__(self):
-            self.new: list[str] = []
-
-        def __missing__(self, piece: str) -> int:
-            self[piece] = out = len(self)
-            self.new.append(piece)
-            return out
-
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's name in a text is text
         self.by_pieces = '"type":"ByteLevel","add_prefix_space":false' in self.tokenizer.to_str().replace(" ", "")
+        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.most = most
         self._reset()
 
     def _reset(self) -> None:
-        self.numbers = self._Numbers()
-        self.flat, self.start, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0
-        self.size = np.zeros(1 << 14, np.int64)
-
-    def _learn(self) -> None:
-        new = self.numbers.new
-        if not new:
-            return
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        first = len(self.numbers) - len(new)
-        while len(self.size) < len(self.numbers):
+        self.table = _Table()
+        self.flat, self.used = np.zeros(1 << 18, np.int32), 0
+        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids) of pieces. Words go to the library many at a time, a newline between them, which is a piece of its
+        own before a word; other pieces go one by one."""
+        word = [p[-1].isalpha() for p in pieces]
+        words = [p for p, w in zip(pieces, word, strict=True) if w]
+        rest = [p for p, w in zip(pieces, word, strict=True) if not w]
+        joined = ["\n".join(words[i : i + 512]) + "\n" for i in range(0, len(words), 512)]
+        ids, sizes = [], np.zeros(len(pieces), np.int64)
+        got = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        x = np.concatenate([np.array(e.ids, np.int32) for e in got] or [np.zeros(0, np.int32)])
+        ends = np.flatnonzero(x == self.newline[0])
+        if len(ends) != len(words):
+            raise RuntimeError("the tokenizer does not keep words apart")
+        at = np.array(word, bool)
+        sizes[at] = np.diff(ends, prepend=-1) - 1
+        others = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        sizes[~at] = [len(i) for i in others]
+        total = np.zeros(int(sizes.sum()), np.int32)
+        of_word = np.repeat(at, sizes)
+        total[of_word] = x[x != self.newline[0]]
+        total[~of_word] = [i for ids in others for i in ids]
+        return total, sizes
+
+    def _learn(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, keys: np.ndarray) -> None:
+        raw = data.tobytes()
+        pieces = [raw[a:b].decode() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        ids, sizes = self._encoded(pieces)
+        first = self.table.n
+        self.table.add(keys)
+        while len(self.size) < self.table.n:
             self.size, self.start = np.concatenate((self.size, self.size * 0)), np.concatenate((self.start, self.start * 0))
-        while len(self.flat) < self.used + size.sum():
+        while len(self.flat) < self.used + len(ids):
             self.flat = np.concatenate((self.flat, self.flat * 0))
-        self.size[first : len(self.numbers)] = size
-        self.start[first : len(self.numbers)] = self.used + np.cumsum(size) - size
-        self.flat[self.used : self.used + size.sum()] = [x for e in ids for x in e]
-        self.used += int(size.sum())
-        self.numbers.new = []
+        self.size[first : self.table.n] = sizes
+        self.start[first : self.table.n] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int64)
-        if not self.by_pieces or not self.PLAIN.fullmatch(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
-        if len(self.numbers) > self.most:
+    def plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each text) of plain texts in UTF-8 that lie one after the other."""
+        if not len(data):
+            return np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
+        if self.table.n > self.most:
             self._reset()
-        pieces = self.PIECE.findall(text)
-        n = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
-        self._learn()
-        size = self.size[n]
+        begin = cut(data, offsets)
+        end = np.append(begin[1:], len(data))
+        keys = span_hashes(data, begin, end)
+        n = self.table.find(keys)
+        new = np.flatnonzero(n < 0)
+        if len(new):
+            distinct, at = np.unique(keys[new], return_index=True)
+            self._learn(data, begin[new[at]], end[new[at]], distinct)
+            n[new] = self.table.find(keys[new])
+        size = self.size[n].astype(np.int64)
         ends = np.cumsum(size)
-        return self.flat[np.repeat(self.start[n] - ends + size, size) + np.arange(ends[-1])].astype(np.int64)
+        ids = self.flat[np.repeat(self.start[n] - ends + size, size) + np.arange(ends[-1])]
+        upto = np.append(0, ends)[np.searchsorted(begin, offsets)]
+        return ids.astype(np.int64), np.diff(upto)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
+
+    def batch(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a column, in order; null has none."""
+        for at, end, data, offsets in pieces(column, 2 << 20):
+            texts = column.slice(at, end - at).to_pylist()
+            plain = np.array([self.by_pieces and (not t or self.PLAIN.fullmatch(t) is not None) for t in texts], bool)
+            own = np.repeat(plain, np.diff(offsets))
+            kept = np.append(0, np.cumsum(np.where(plain, np.diff(offsets), 0)))
+            ids, sizes = self.plain(data if plain.all() else data[own], kept)
+            ends = np.cumsum(sizes)
+            for i, t in enumerate(texts):
+                yield ids[ends[i] - sizes[i] : ends[i]] if plain[i] else self.whole(t)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        return next(iter(self.batch(pa.array([text], pa.string()))))
 
 
 _held: dict[str, ByteBpe] = {}
@@ -107,8 +232,8 @@ def _records(path: str, end_id: int):
             return pa.RecordBatch.from_arrays(columns, ["part", "before", "doc_id", "n_tokens", "blocks"])
 
         for b in batches:
-            for doc_id, text in zip(b.column(0), b.column(1), strict=True):
-                ids = np.append(bpe(text.as_py()), end_id)
+            for doc_id, ids in zip(b.column(0), bpe.batch(b.column(1)), strict=True):
+                ids = np.append(ids, end_id)
                 if many and held + len(ids) > BLOCK:
                     yield record()
                     before, held, docs, many = before + held, 0, [], []
@@ -125,7 +250,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id
     """Encode the whole texts of docs (null: empty) by the tokenizer file, end_id after each, and write them to path in ascending
     order of doc_id; null ids come first, rows of one id in order of their texts. Other columns are not read."""
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    d = d.repartitionByRange(partitions_for(d), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    d = d.repartitionByRange(partitions_for(d), "doc_id").sortWithinPartitions("doc_id", "text")
     d.mapInArrow(_records(tokenizer, end_id), RECORD).write.option("compression", "none").parquet(path)
 
 
