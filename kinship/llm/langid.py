@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, released
 from .textbytes import LOWER, pieces
 
 BITS, DIM, GRAMS = 15, 16, (2, 3, 4)
@@ -69,11 +70,12 @@ def _spread(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, np.append(to, len(data) + 2 * (n + 1))
 
 
+@lean
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Label and (bucket, count) of each row: at most 2**BITS of them, whatever the text's length."""
     for b in batches:
         ids, counts, labels = [], [], []
-        for at, end, data, offsets in pieces(b.column(1)):
+        for at, end, data, offsets in pieces(b.column(1), 1 << 20):
             for i in range(end - at):
                 d = np.concatenate(([32], data[offsets[i] : offsets[i + 1]], [32])).astype(np.uint8)
                 c = np.zeros(1 << BITS, np.int64)
@@ -186,7 +188,13 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", most: int =
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score and rejected added (columns of these names are replaced).
+    """docs with lang_pred, score and rejected added; columns of these names are replaced. See judged()."""
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+    return judged(docs, model, text).select(*kept, "lang_pred", "score", "rejected")
+
+
+def judged(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """(row, lang_pred, score, rejected): each row of docs as a struct, with what the model says of its text.
 
     A text that is null or has no letter is UNKNOWN with score 0 and rejected; another gets the most probable language, and is
     rejected if its score is under the model's threshold. Equal texts get equal results; only the text is read."""
@@ -197,21 +205,22 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         m = held.value
         best, score = [], []
         if langs:
-            for _, _, data, offsets in pieces(column):
+            for _, _, data, offsets in pieces(column, 1 << 20):
                 b, s = m(data, offsets)
                 best.append(b)
                 score.append(s)
         best = np.concatenate(best or [np.zeros(len(column), np.int64)])
         score = np.concatenate(score or [np.zeros(len(column))])
         names = pa.array(langs or [UNKNOWN], pa.string()).take(pa.array(best))
+        released()
         return pa.StructArray.from_arrays([names, pa.array(score, pa.float64())], ["lang", "score"])
 
     run.__annotations__ = {"column": pa.Array, "return": pa.Array}
     guess = F.arrow_udf(run, "lang string, score double")(F.col(text))
     known = F.coalesce(has_letter(F.col(text)), F.lit(False)) & F.lit(bool(langs))
-    out = docs.drop("lang_pred", "score", "rejected").withColumn("__p", guess)
-    out = out.withColumn("lang_pred", F.when(known, F.col("__p.lang")).otherwise(UNKNOWN)).withColumn("score", F.when(known, F.col("__p.score")).otherwise(0.0))
-    return out.drop("__p").withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("score") < model.threshold))
+    out = docs.select(F.struct(*docs.columns).alias("row"), known.alias("known"), guess.alias("p"))
+    out = out.select("row", F.when(F.col("known"), F.col("p.lang")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("known"), F.col("p.score")).otherwise(0.0).alias("score"))
+    return out.withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("score") < model.threshold))
 
 
 def has_letter(text: Column) -> Column:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_for, row_key, stored
+from .common import partitions_for, released, row_key, stored
 from .langid import fold
 from .textbytes import combined, pieces, word_hashes
 
@@ -36,7 +36,7 @@ _LOW = np.uint64((1 << 48) - 1)
 def _tokens(column) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of each token of a column of texts: its words, then END."""
     hashes, rows = [], []
-    for at, end, data, offsets in pieces(column):
+    for at, end, data, offsets in pieces(column, 2 << 20):
         h, row = word_hashes(data, offsets)
         size = np.bincount(row, minlength=end - at) + 1
         out = np.full(int(size.sum()), END)
@@ -94,6 +94,7 @@ def _asked(order: int, buckets: int):
     """A chunk's distinct n-grams with their counts in its training texts: a row for each order and bucket."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
+        released()
         held = np.array(t.column("held_out"), bool)
         h, row = _tokens(t.column("text"))
         trains = ~held[row]
@@ -165,6 +166,7 @@ def walk(root: np.ndarray, arcs: list[np.ndarray], states: list[np.ndarray], str
 
 def _scored(order: int, buckets: int, tokens: int, words: int, begins: int, strength: list[float]):
     def run(t: pa.Table, right: pa.Table) -> pa.Table:
+        released()
         answers = right.to_pydict()
         h, row = _tokens(t.column("text"))
         counts = []

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .webp import SIDE, decode, encode_plain
 
 #: Bytes of a row of pixels; payloads are padded to a multiple.
@@ -38,6 +39,7 @@ def feature(pixels: np.ndarray) -> str:
     return f"{w}x{h};{means};{edges:.3f}"
 
 
+@lean
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         at, n = 0, len(b)
@@ -64,6 +66,7 @@ def write_media(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     d.mapInArrow(_stored, "doc_id long, n_bytes long, payload_bytes long, media binary").write.option("compression", "zstd").parquet(path)
 
 
+@lean
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: list[tuple] = []

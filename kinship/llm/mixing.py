@@ -84,36 +84,34 @@ def plan(docs: DataFrame, max_repeats: float | None = 2.0, min_entropy: float |
 
 
 def copies(docs: DataFrame, planned: list[dict], seed: int = 17, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """docs with __key, __tokens and __copies: how often each row comes in the mix. Rows that agree in id and text agree in copies,
-    and are taken or left together."""
+    """(row, n_tokens, copies): each row of docs as a struct, its tokens, and how often it comes in the mix. Rows that agree in id and
+    text agree in copies, and are taken or left together."""
     spark = docs.sparkSession
-    sources = spark.createDataFrame([(r["source"], r["passes"], r["rest"], max(1, r["n_docs"] // PER_BLOCK)) for r in planned], "__source string, __passes long, __rest long, __blocks long")
+    sources = spark.createDataFrame([(r["source"], r["passes"], r["rest"], max(1, r["n_docs"] // PER_BLOCK)) for r in planned], "source string, passes long, rest long, blocks long")
     sources = F.broadcast(sources)  # one row a source, all of which plan() has collected
-    d = docs.withColumn("__key", row_key(doc_id, text)).withColumn("__tokens", n_tokens(F.col(text)))
-    d = d.join(sources, F.col(source).cast("string").eqNullSafe(F.col("__source")), "left")
-    d = d.withColumn("__block", F.pmod(F.xxhash64(F.lit(seed), "__key"), F.col("__blocks")))
-    # Blocks in an order permuted by hash, and the tokens ahead of each. A source's blocks are summed in stretches of 1,000 first, so
-    # that no task orders more than the stretches of a source.
-    size = d.groupBy("__source", "__block").agg(F.sum("__tokens").alias("t"))
-    size = stored(size.withColumn("at", F.xxhash64(F.lit(seed + 1), "__block")).withColumn("stretch", _stretch(F.col("at"))), "blocks")
-    w = Window.partitionBy("__source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    before = size.groupBy("__source", "stretch").agg(F.sum("t").alias("s")).withColumn("base", F.coalesce(F.sum("s").over(w), F.lit(0))).select(F.col("__source").alias("s2"), F.col("stretch").alias("st2"), "base")
-    w = Window.partitionBy("__source", "stretch").orderBy("at", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    d = docs.select(F.struct(*docs.columns).alias("row"), row_key(doc_id, text).alias("key"), n_tokens(F.col(text)).alias("n_tokens"), F.col(source).cast("string").alias("of"))
+    d = d.join(sources, F.col("of").eqNullSafe(F.col("source")), "left").drop("of")
+    d = d.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "key"), F.col("blocks")))
+    # Blocks in an order permuted by hash, and the tokens ahead of each. A source's blocks are summed in stretches first, so that no task
+    # orders more than the stretches of a source or the blocks of a stretch.
+    size = d.groupBy("source", "block").agg(F.sum("n_tokens").alias("t"))
+    size = stored(size.withColumn("at", F.xxhash64(F.lit(seed + 1), "block")).withColumn("stretch", _stretch(F.col("at"))), "blocks")
+    w = Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    before = size.groupBy("source", "stretch").agg(F.sum("t").alias("s")).withColumn("base", F.coalesce(F.sum("s").over(w), F.lit(0))).select(F.col("source").alias("s2"), F.col("stretch").alias("st2"), "base")
+    w = Window.partitionBy("source", "stretch").orderBy("at", "block").rowsBetween(Window.unboundedPreceding, -1)
     ahead = size.withColumn("in", F.coalesce(F.sum("t").over(w), F.lit(0)))
-    ahead = ahead.join(before, F.col("__source").eqNullSafe(F.col("s2")) & (F.col("stretch") == F.col("st2"))).select("__source", "__block", "t", (F.col("base") + F.col("in")).alias("ahead"))
+    ahead = ahead.join(before, F.col("source").eqNullSafe(F.col("s2")) & (F.col("stretch") == F.col("st2")))
     # The block in which the rest of the budget ends: its documents follow in order of hash. Others come whole or not at all.
-    ahead = stored(ahead.select(F.col("__source").alias("s3"), F.col("__block").alias("b3"), "t", "ahead"), "ahead")
-    d = d.join(ahead, F.col("__source").eqNullSafe(F.col("s3")) & (F.col("__block") == F.col("b3")), "left")
-    whole = F.col("ahead") + F.col("t") <= F.col("__rest")
-    cut = ~whole & (F.col("ahead") < F.col("__rest"))
-    parts = d.where(cut).select("__source", "__key", "__tokens", "__rest", "ahead")
-    parts = parts.groupBy("__source", "__key", "__rest", "ahead").agg(F.sum("__tokens").alias("__tokens"))
-    w = Window.partitionBy("__source").orderBy(F.xxhash64(F.lit(seed + 2), "__key"), "__key").rowsBetween(Window.unboundedPreceding, 0)
-    last = parts.withColumn("to", F.col("ahead") + F.sum("__tokens").over(w)).where(F.col("to") <= F.col("__rest"))
-    last = stored(last.select(F.col("__source").alias("s4"), F.col("__key").alias("k4")).distinct(), "last")
-    d = d.join(last, F.col("__source").eqNullSafe(F.col("s4")) & (F.col("__key") == F.col("k4")), "left")
-    extra = F.when(F.coalesce(whole, F.lit(False)) & (F.col("__rest") > 0), 1).when(F.col("k4").isNotNull(), 1).otherwise(0)
-    return d.select(*docs.columns, "__key", "__tokens", (F.coalesce("__passes", F.lit(0)) + extra).cast("int").alias("__copies"))
+    ahead = stored(ahead.select(F.col("source").alias("s3"), F.col("block").alias("b3"), "t", (F.col("base") + F.col("in")).alias("ahead")), "ahead")
+    d = d.join(ahead, F.col("source").eqNullSafe(F.col("s3")) & (F.col("block") == F.col("b3")), "left")
+    whole = F.col("ahead") + F.col("t") <= F.col("rest")
+    parts = d.where(~whole & (F.col("ahead") < F.col("rest"))).groupBy("source", "key", "rest", "ahead").agg(F.sum("n_tokens").alias("n"))
+    w = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 2), "key"), "key").rowsBetween(Window.unboundedPreceding, 0)
+    last = parts.withColumn("to", F.col("ahead") + F.sum("n").over(w)).where(F.col("to") <= F.col("rest"))
+    last = stored(last.select(F.col("source").alias("s4"), F.col("key").alias("k4")).distinct(), "last")
+    d = d.join(last, F.col("source").eqNullSafe(F.col("s4")) & (F.col("key") == F.col("k4")), "left")
+    extra = F.when(F.coalesce(whole, F.lit(False)) & (F.col("rest") > 0), 1).when(F.col("k4").isNotNull(), 1).otherwise(0)
+    return d.select("row", "n_tokens", (F.coalesce("passes", F.lit(0)) + extra).cast("int").alias("copies"))
 
 
 def _stretch(at: Column) -> Column:
@@ -124,4 +122,4 @@ def mixed(docs: DataFrame, max_repeats: float | None = 2.0, min_entropy: float |
     """The rows of docs, all columns, as often as the mix has them; docs must have doc_id, source and text. Rows with a null source are
     a source of their own; null texts have no tokens; an empty table stays empty."""
     c = copies(docs, plan(docs, max_repeats, min_entropy, budget), seed)
-    return c.where("__copies > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
+    return c.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

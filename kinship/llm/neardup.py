@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import lean, stored
 from .textbytes import combined, mix, pieces, word_hashes
 
 BANDS = 32
@@ -70,7 +70,7 @@ ROWS = 2048
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, row, 53-bit hash), the hashes alike in any batch."""
-    for at, end, data, offsets in pieces(column):
+    for at, end, data, offsets in pieces(column, 2 << 20):
         for lo in range(0, end - at, ROWS):
             hi = min(lo + ROWS, end - at)
             part = data[offsets[lo] : offsets[hi]]
@@ -92,20 +92,24 @@ def signatures(n: int, row: np.ndarray, h: np.ndarray) -> list[bytes | None]:
     return [both[i].tobytes() if size[i] else None for i in range(n)]
 
 
-def sketches(n: int, row: np.ndarray, h: np.ndarray, t: int, seed: int = 0) -> np.ndarray:
+def sketches(n: int, row: np.ndarray, h: np.ndarray, t: int) -> np.ndarray:
     """n x t coordinates; rows without elements have the largest number."""
     none = np.uint64((1 << 64) - 1)
     out = np.full(n * t, none, np.uint64)
     size = np.bincount(row, minlength=n)
-    todo = size > 0
+    left = np.flatnonzero(size > 0)
     for i in range(2 * t):
         if i:
-            todo = (out.reshape(n, t) == none).any(1) & (size > 0)
-            if not todo.any():
+            lacks = (out.reshape(n, t)[left] == none).any(1)
+            if not lacks.any():
                 break
-            keep = todo[row]
-            row, h = row[keep], h[keep]
-        x = mix(h + np.uint64(_ROUND * (seed + i + 1) % (1 << 64)))
+            if not lacks.all():
+                left = left[lacks]
+                todo = np.zeros(n, bool)
+                todo[left] = True
+                keep = todo[row]
+                row, h = row[keep], h[keep]
+        x = mix(h + np.uint64(_ROUND * (i + 1) % (1 << 64)))
         bins = ((x >> np.uint64(32)) * np.uint64(t) >> np.uint64(32)).astype(np.int64) if i < t else np.full(len(x), i - t)
         value = (np.uint64(i) << np.uint64(48)) | (mix(x) >> np.uint64(16))
         np.minimum.at(out, row * t + bins, value)
@@ -113,6 +117,7 @@ def sketches(n: int, row: np.ndarray, h: np.ndarray, t: int, seed: int = 0) -> n
 
 
 def _sketch_batches(k: int, bands: int, r: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, n, row, h in _sets(b.column(1), k):
@@ -133,6 +138,7 @@ def _bands(coordinates: np.ndarray, bands: int) -> pa.Array:
 
 
 def _set_batches(k: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, n, row, h in _sets(b.column(0), k):
@@ -143,6 +149,7 @@ def _set_batches(k: int):
 
 
 def _verified(up: int, down: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
@@ -296,5 +303,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4
 
 def one_of_each(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """The rows of docs, all columns, whose document is kept; docs must have doc_id and text."""
-    gone = near_duplicates(docs, k, threshold).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stored(gone, "copies"), F.col("doc_id") == F.col("__id"), "left_anti")
+    gone = near_duplicates(docs, k, threshold).where("not kept").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(stored(gone, "copies"), "id", "left_anti").select("row.*")

@@ -38,7 +38,7 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import copies, plan
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return copies(docs, plan(docs)).select("doc_id", "source", F.col("__tokens").alias("n_tokens"), F.col("__copies").alias("copies"))
+    return copies(docs, plan(docs)).select("row.doc_id", "row.source", "n_tokens", "copies")
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import lean, stored
 
 EOL = "\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -117,6 +117,7 @@ RECORD = "record_id string, record_type string, target_uri string, date string,
 def _parsed(with_payload: bool):
     schema = pa.schema([(x, pa.string()) for x in ("record_id", "record_type", "target_uri", "date", "concurrent_to", "refers_to", "payload_digest")] + [("payload_bytes", pa.int64()), ("fields", pa.map_(pa.string(), pa.string()))] + [("payload", pa.binary())] * with_payload)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data in b.column(0):
