@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kinship.llm.common import new_path, table
 from kinship.llm.decontaminate import remove_contaminated
-from kinship.llm.langid import fit, fold, predict
+from kinship.llm.langid import fit, fold, judged
 from kinship.llm.mixing import mixed
 from kinship.llm.neardup import one_of_each
 from kinship.llm.tokens import read_tokens, write_tokens
@@ -24,7 +24,7 @@ TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier does not reject; it is fitted on three quarters of the labelled ones."""
     model = fit(docs.where(fold(F.col("doc_id"), 4) != 2))
-    return predict(docs, model).where("not rejected").select(*docs.columns)
+    return judged(docs, model).where("not rejected").select("row.*")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
