@@ -12,7 +12,7 @@ begin anew with each block.
 The ids that a block has are its alphabet; inside, ids are places in it.
 
 Block: magic KTB2; then as little-endian u32: ids, lanes, size of the alphabet, bytes of the packed alphabet, crc32 of the ids, crc32
-of what follows; the alphabet's differences as u32, packed by zlib; the number of 16-bit words of each lane as u16 or u32 (u32 where
+of all the rest of the block; the alphabet's differences as u32, packed by zlib; the number of 16-bit words of each lane as u16 or u32 (u32 where
 lanes have over 16384 steps); the words of all lanes.
 """
 
@@ -24,8 +24,8 @@ import zlib
 import numpy as np
 
 MAGIC = b"KTB2"
-_HEAD = struct.Struct("<4sIIIIII")
-LANES, STEPS = 4096, 256
+_HEAD, _CRC = struct.Struct("<4sIIIII"), struct.Struct("<I")
+LANES, STEPS = 8192, 128
 #: Ids that share a block, unless one document has more.
 BLOCK = LANES * STEPS
 _HASH, _FLAG, _ID = 18, 12, 22
@@ -52,7 +52,7 @@ class _Model:
         self.share = np.ones((64, 3), np.int64)
         self.share[:, 2] = 3
         self.count = np.zeros(size, np.int64)
-        self.seen, self.due, self.fresh = 0, 0, []
+        self.seen, self.due, self.fresh, self.steps = 0, 0, [], 0
         self.decodes = decodes
         self._tables()
         self._counts()
@@ -115,7 +115,9 @@ class _Model:
             self.fresh.append(literals)
             self.seen += len(literals)
         self.before, self.last = self.last, ids
-        self._tables()
+        self.steps += 1
+        if self.steps < 16 or self.steps % 4 == 0:
+            self._tables()
         if self.seen >= self.due:
             self._counts()
             self.due = self.seen + max(1 << 13, self.seen // 12)
@@ -123,7 +125,7 @@ class _Model:
 
 def encode(ids: np.ndarray) -> bytes:
     """One block. ids: integers from 0 to 2**32 - 1, 2**21 different ones at most."""
-    ids = np.asarray(ids, np.int64)
+    ids = np.asarray(ids)
     n = len(ids)
     if n and (ids.min() < 0 or ids.max() >= 1 << 32):
         raise ValueError("ids must be from 0 to 2**32 - 1")
@@ -188,16 +190,17 @@ def encode(ids: np.ndarray) -> bytes:
     kind = "<u2" if steps <= 16384 else "<u4"
     table = zlib.compress(np.diff(alphabet, prepend=0).astype("<u4").tobytes(), 6)
     body = table + used.astype(kind).tobytes() + words.T[np.arange(words.shape[0])[None, :] < used[:, None]].astype("<u2").tobytes()
-    return _HEAD.pack(MAGIC, n, lanes, len(alphabet), len(table), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body)) + body
+    head = _HEAD.pack(MAGIC, n, lanes, len(alphabet), len(table), zlib.crc32(ids.astype("<u4").tobytes()))
+    return head + _CRC.pack(zlib.crc32(body, zlib.crc32(head))) + body
 
 
 def decode(block: bytes) -> np.ndarray:
     """The ids of a block, as unsigned 32-bit integers."""
-    if len(block) < _HEAD.size:
+    if len(block) < _HEAD.size + _CRC.size:
         raise CorruptBlock("the block is shorter than its header")
-    magic, n, lanes, size, packed, crc_ids, crc_body = _HEAD.unpack_from(block)
-    body = memoryview(block)[_HEAD.size :]
-    if magic != MAGIC or zlib.crc32(body) != crc_body or not lanes:
+    magic, n, lanes, size, packed, crc_ids = _HEAD.unpack_from(block)
+    body = memoryview(block)[_HEAD.size + _CRC.size :]
+    if magic != MAGIC or zlib.crc32(body, zlib.crc32(block[: _HEAD.size])) != _CRC.unpack_from(block, _HEAD.size)[0]:
         raise CorruptBlock("the block's header or checksum is wrong")
     alphabet = np.cumsum(np.frombuffer(zlib.decompress(body[:packed]), "<u4"), dtype=np.uint32)
     if len(alphabet) != size:

@@ -13,12 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_for
+from .common import lean, partitions_for
 from .rangecoder import BLOCK, decode, encode
 from .textbytes import pieces, span_hashes
 
@@ -71,6 +70,21 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+_ODD = np.ones(256, bool)
+_ODD[[9, 10, 13, *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = False
+
+
+def odd(data: np.ndarray) -> np.ndarray:
+    """Places of bytes of UTF-8 that are not of plain text: printable ASCII, tab, newlines, the letters of U+00C0 to U+024F."""
+    out = _ODD[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    after = data[lead + 1]
+    out[lead[(after == 0x97) | (after == 0xB7)]] = True  # the signs of multiplication and division
+    lead = np.flatnonzero(data[:-1] == 0xC9)
+    out[lead[data[lead + 1] > 0x8F]] = True
+    return np.flatnonzero(out)
+
+
 class _Table:
     """64-bit keys to numbers from 0 on, in open addressing, many at a time."""
 
@@ -121,9 +135,7 @@ class ByteBpe:
     libraries' Unicode tables might think differently, go to the library whole.
     """
 
-    PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-ɏ]*")
-
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
         from tokenizers import Tokenizer
 
@@ -180,7 +192,7 @@ class ByteBpe:
     def plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each text) of plain texts in UTF-8 that lie one after the other."""
         if not len(data):
-            return np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
         if self.table.n > self.most:
             self._reset()
         begin = cut(data, offsets)
@@ -195,23 +207,24 @@ class ByteBpe:
         size = self.size[n].astype(np.int64)
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[n] - ends + size, size) + np.arange(ends[-1])]
-        upto = np.append(0, ends)[np.searchsorted(begin, offsets)]
-        return ids.astype(np.int64), np.diff(upto)
+        return ids, np.diff(np.append(0, ends)[np.searchsorted(begin, offsets)])
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
     def batch(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text of a column, in order; null has none."""
         for at, end, data, offsets in pieces(column, 2 << 20):
-            texts = column.slice(at, end - at).to_pylist()
-            plain = np.array([self.by_pieces and (not t or self.PLAIN.fullmatch(t) is not None) for t in texts], bool)
-            own = np.repeat(plain, np.diff(offsets))
-            kept = np.append(0, np.cumsum(np.where(plain, np.diff(offsets), 0)))
-            ids, sizes = self.plain(data if plain.all() else data[own], kept)
+            plain = np.full(end - at, self.by_pieces)
+            plain[np.searchsorted(offsets, odd(data), "right") - 1] = False
+            if plain.all():
+                ids, sizes = self.plain(data, offsets)
+            else:
+                size = np.diff(offsets)
+                ids, sizes = self.plain(data[np.repeat(plain, size)], np.append(0, np.cumsum(np.where(plain, size, 0))))
             ends = np.cumsum(sizes)
-            for i, t in enumerate(texts):
-                yield ids[ends[i] - sizes[i] : ends[i]] if plain[i] else self.whole(t)
+            for i in range(end - at):
+                yield ids[ends[i] - sizes[i] : ends[i]] if plain[i] else self.whole(column[at + i].as_py() or "")
 
     def __call__(self, text: str | None) -> np.ndarray:
         return next(iter(self.batch(pa.array([text], pa.string()))))
@@ -221,6 +234,7 @@ _held: dict[str, ByteBpe] = {}
 
 
 def _records(path: str, end_id: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _held.get(path) or _held.setdefault(path, ByteBpe(path))
         part, before, held, docs, many = TaskContext.get().partitionId(), 0, 0, [], []
@@ -233,7 +247,7 @@ def _records(path: str, end_id: int):
 
         for b in batches:
             for doc_id, ids in zip(b.column(0), bpe.batch(b.column(1)), strict=True):
-                ids = np.append(ids, end_id)
+                ids = np.append(ids, np.int32(end_id))
                 if many and held + len(ids) > BLOCK:
                     yield record()
                     before, held, docs, many = before + held, 0, [], []
@@ -255,6 +269,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id
 
 
 def _read_back(with_ids: bool):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, before, docs, sizes, blocks in zip(*(b.column(i) for i in range(5)), strict=True):
