@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import struct
 from collections import Counter
+from collections.abc import Sequence
 
 import numpy as np
 
@@ -44,9 +46,10 @@ class _Bits:
 class _Code:
     """A prefix code, from the length of each symbol's word."""
 
-    def __init__(self, lengths: list[int]):
+    def __init__(self, lengths: Sequence[int]):
         used = [s for s, n in enumerate(lengths) if n]
-        self.lengths, self.only = lengths, used[0] if len(used) == 1 else None
+        self.only = used[0] if len(used) == 1 else None
+        self.plain = used == list(range(256)) and all(lengths[s] == 8 for s in used)
         if not used:
             self.only = 0
         if self.only is not None:
@@ -68,7 +71,7 @@ class _Code:
         return s
 
 
-def words_of(lengths: list[int]) -> dict[int, int]:
+def words_of(lengths: Sequence[int]) -> dict[int, int]:
     """Each symbol's canonical word with its first bit lowest."""
     word, last, out = 0, 0, {}
     for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
@@ -97,6 +100,10 @@ def _read_code(bits: _Bits, size: int) -> _Code:
     while len(lengths) < size and left:
         left -= 1
         s = code.read(bits)
+        if code.only is not None and s < 16:  # a word of no bits: all that are left
+            run = min(left + 1, size - len(lengths))
+            lengths += [s] * run
+            break
         if s < 16:
             lengths.append(s)
             before = s or before
@@ -106,7 +113,13 @@ def _read_code(bits: _Bits, size: int) -> _Code:
             lengths += [0] * (3 + bits.read(3) if s == 17 else 11 + bits.read(7))
     if len(lengths) > size:
         raise BadWebp("a prefix code has too many lengths")
-    return _Code(lengths + [0] * (size - len(lengths)))
+    return _code(tuple(lengths) + (0,) * (size - len(lengths)))
+
+
+@functools.lru_cache(256)
+def _code(lengths: tuple[int, ...]) -> _Code:
+    """Files of one encoder share codes."""
+    return _Code(lengths)
 
 
 def _number(bits: _Bits, prefix: int) -> int:
@@ -122,7 +135,7 @@ def _blocks(n: int, bits: int) -> int:
 
 def _plain(group: list[_Code]) -> bool:
     """All literals of the four channels have words of 8 bits, and nothing else has a word."""
-    return all(c.only is None and c.bits == 8 and all(n == 8 for n in c.lengths[:256]) and not any(c.lengths[256:]) for c in group[:4])
+    return all(c.plain for c in group[:4])
 
 
 def _read_pixels(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -524,10 +537,12 @@ def encode(pixels: np.ndarray, transforms=(), cache_bits: int = 0, references: b
     return _wrapped(out.bytes())
 
 
-def encode_plain(pixels: np.ndarray) -> bytes:
-    """A lossless WebP file whose literals all have words of 8 bits: as large as the pixels, but written and read in one step."""
-    out = _begun(pixels.shape[1], pixels.shape[0])
-    out.write(0, 3)  # no transform, no colour cache, one group of codes
+@functools.cache
+def _plain_codes() -> tuple[int, int]:
+    """What stands between size and pixels: no transform, no colour cache, one group of codes, those of literals of 8 bits each. As
+    one number, and how many bits it has."""
+    out = _Out()
+    out.write(0, 3)
     for _ in range(4):
         out.write(0, 1)
         out.write(8, 4)
@@ -537,6 +552,13 @@ def encode_plain(pixels: np.ndarray) -> bytes:
         out.write(3, 3)
         out.write(254, 8)
     out.write(1, 4)  # a distance code of one symbol
+    return out.value, out.n
+
+
+def encode_plain(pixels: np.ndarray) -> bytes:
+    """A lossless WebP file whose literals all have words of 8 bits: as large as the pixels, but written and read in one step."""
+    out = _begun(pixels.shape[1], pixels.shape[0])
+    out.write(*_plain_codes())
     body = _REVERSED[np.ascontiguousarray(pixels.reshape(-1, 4)[:, [1, 0, 2, 3]]).reshape(-1)].astype(np.uint16)
     shift = out.n & 7
     head = out.bytes()
