@@ -44,8 +44,9 @@ def license_matches(docs: DataFrame, min_dice: tuple[int, int] = (4, 5), notices
     """(key, part, license, dice): each line, and each paragraph of more than one line, that matches a template, with the template's
     licence. docs needs key, which tells rows apart.
 
-    With a and b distinct bigrams, a Dice coefficient of t needs a and b to be within t / (2 - t) of each other; a template whose size
-    is out of that range for a part is no candidate. Parts of under two words have no bigrams and match nothing."""
+    Only parts with a word that some template makes necessary are cut into bigrams. With a and b distinct bigrams, a Dice coefficient
+    of t needs a and b to be within t / (2 - t) of each other; a template whose size is out of that range for a part is no candidate.
+    Parts of under two words have no bigrams and match nothing."""
     up, down = min_dice
     spark = docs.sparkSession
     t = templates(spark, notices).select("template", "license", _bigrams(loose_words(F.col("notice"))).alias("b"))
@@ -54,18 +55,46 @@ def license_matches(docs: DataFrame, min_dice: tuple[int, int] = (4, 5), notices
     lines = F.transform(F.split(F.col(text), r"\r\n|[\r\n]"), lambda x: F.struct(x.alias("s"), F.lit(0).alias("several")))
     paragraphs = F.filter(F.split(F.col(text), r"(\r\n|[\r\n])[ \t]*(\r\n|[\r\n])\s*"), lambda p: p.rlike(r"[\r\n]"))
     parts = F.concat(lines, F.transform(paragraphs, lambda x: F.struct(x.alias("s"), F.lit(1).alias("several"))))
-    sizes = [len({(a, b) for a, b in zip(w, w[1:])}) for w in (_plain_words(n) for _, n in notices)]
+    sizes = [len(set(zip(w, w[1:]))) for w in (_plain_words(n) for _, n in notices)]
+    words = necessary(notices, min_dice)
     least, most = min(sizes, default=0) * up, max(sizes, default=0) * (2 * down - up)
-    p = docs.where(F.col(text).isNotNull()).select(key, F.posexplode(parts).alias("part", "p"))
+    p = docs.where(_has_any(F.lower(F.col(text)), words)).select(key, F.posexplode(parts).alias("part", "p"))
+    p = p.where(_has_any(F.lower(F.col("p.s")), words))
     p = p.select(key, "part", _bigrams(loose_words(F.col("p.s"))).alias("b")).withColumn("n", F.size("b"))
     p = p.where((F.col("n") * (2 * down - up) >= least) & (F.col("n") * up <= most))
     hit = p.select(key, "part", "n", F.explode("b").alias("h")).join(t, "h")
     hit = hit.where((F.col("n") * (2 * down - up) >= F.col("m") * up) & (F.col("m") * (2 * down - up) >= F.col("n") * up))
-    both = hit.groupBy(key, "part", "template", "license", "n", "m").agg(F.count("*").alias("c"))
+    both = hit.groupBy(key, "part", "template", "license", "n", "m").agg(F.count_distinct("h").alias("c"))  # rows that agree in key count once
     both = both.where(2 * F.col("c") * down >= (F.col("n") + F.col("m")) * up)
     return both.groupBy(key, "part", "license").agg(F.max(2 * F.col("c") / (F.col("n") + F.col("m"))).alias("dice"))
 
 
+def necessary(notices, min_dice: tuple[int, int]) -> set[str]:
+    """Words of which a part that matches a template has one at least. A match shares t / (2 - t) of the template's m bigrams or more,
+    so of any m less that, plus one, it has one; the bigrams with the longest words are taken, and of each its longer word."""
+    up, down = min_dice
+    out = set()
+    for _, notice in notices:
+        w = _plain_words(notice)
+        pairs = sorted(set(zip(w, w[1:])), key=lambda p: (-max(map(len, p)), p))
+        shared = -(-len(pairs) * up // (2 * down - up))
+        out |= {max(p, key=lambda x: (len(x), x)) for p in pairs[: len(pairs) - shared + 1]}
+    return out
+
+
+def _has_any(low: Column, words: set[str]) -> Column:
+    """Whether lower-cased text may have some of the words: long ones as parts of words too, which is fast; short ones by themselves."""
+    long = [w for w in sorted(words, key=len) if len(w) > 3]
+    long = [w for i, w in enumerate(long) if not any(v in w for v in long[:i])]
+    out = F.lit(False)
+    for w in long:
+        out = out | F.contains(low, F.lit(w))
+    if short := [w for w in sorted(words) if len(w) <= 3]:
+        inside = r"[0-9a-z\x{80}-\x{10FFFF}]"
+        out = out | low.rlike(f"(?<!{inside})(?:{'|'.join(short)})(?!{inside})")
+    return out
+
+
 def _plain_words(notice: str) -> list[str]:
     return "".join(c if c.isalnum() else " " for c in notice.lower()).split()
 
@@ -76,7 +105,6 @@ def license_scan(docs: DataFrame, min_dice: tuple[int, int] = (4, 5), notices=TE
     null (rows that agree in id and text get the same result); other columns are not read."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     d = d.withColumn("key", row_key("doc_id", "text"))
-    # Rows that agree in key would count each other's matches; each match counts once for a key.
     m = license_matches(d, min_dice, notices)
     m = m.groupBy("key").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"), F.max("dice").alias("dice"))
     out = d.select("doc_id", "key").join(m, "key", "left")
