@@ -99,7 +99,7 @@ def decontaminate(
             found = part if found is None else found.unionByName(part)
         hits = stored(found.join(wanted, "h", "left_semi"), "hits")
     if hits is None:
-        found = docs.sparkSession.createDataFrame([], "key long, starts array<struct<at:int, item_id:string, window:array<string>>>")
+        found = docs.limit(0).select("key", F.lit(None).cast("array<struct<at:int, item_id:string, window:array<string>>>").alias("starts"))
     else:
         # The rarest shingle of each window; its frequency is counted over all documents.
         often = hits.groupBy("h").agg(F.count("*").alias("n"))
@@ -112,7 +112,7 @@ def decontaminate(
         )
         rare = stored(rare, "prefix")
         # Few windows share a rarest shingle; they go along as one array, so that a hit stays one row.
-        by_shingle = rare.groupBy("h").agg(F.collect_list(F.struct("off", "item_id", "window")).alias("wins"))
+        by_shingle = stored(rare.groupBy("h").agg(F.collect_list(F.struct("off", "item_id", "window")).alias("wins")), "index")
         found = (
             hits.join(by_shingle, "h")
             .select("key", F.explode(F.transform("wins", lambda x: F.struct((F.col("pos") - x.off).alias("at"), x.item_id.alias("item_id"), x.window.alias("window")))).alias("c"))
@@ -148,6 +148,6 @@ def decontaminate(
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, size: int = 13, min_share: tuple[int, int] = (1, 20)) -> DataFrame:
     """The rows of docs, all columns, that are not contaminated; docs must have doc_id and text."""
-    bad = decontaminate(docs, items, size, min_share).where("contaminated").select(F.col("key").alias("__key")).distinct()
-    keyed = docs.withColumn("__key", row_key("doc_id", "text"))
-    return keyed.join(stored(bad, "contaminated"), "__key", "left_anti").drop("__key")
+    bad = decontaminate(docs, items, size, min_share).where("contaminated").select("key").distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), row_key("doc_id", "text").alias("key"))
+    return keyed.join(stored(bad, "contaminated"), "key", "left_anti").select("row.*")
