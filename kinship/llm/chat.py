@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, stored
+from .common import constant, row_key, stored
 
 ENVELOPE = "content string, tool_call_id string, tool_calls array<struct<id: string, name: string, arguments: string>>"
 #: JSON types by the names that Spark gives a variant's.
@@ -23,7 +23,7 @@ TYPES = {"integer": "BIGINT", "string": "STRING", "boolean": "BOOLEAN", "null":
 def schemas(spark: SparkSession, tools: dict[str, dict]) -> DataFrame:
     """(name, args): tools as {name: {"properties": {argument: JSON type}, "required": [argument]}}."""
     rows = [(name, [(a, kind, a in t.get("required", ())) for a, kind in sorted(t.get("properties", {}).items())]) for name, t in tools.items()]
-    return spark.createDataFrame(rows, "name string, args array<struct<arg: string, kind: string, required: boolean>>")
+    return constant(spark, rows, "name string, args array<struct<arg: string, kind: string, required: boolean>>")
 
 
 def _is(kind: Column, value: Column) -> Column:

@@ -50,6 +50,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def constant(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table that is part of the plan, as expressions."""
+    names = [c.split(" ", 1)[0] for c in _top_level(schema)]
+    if not rows:
+        return spark.range(0).select(*(F.lit(None).cast(c.split(" ", 1)[1]).alias(n) for c, n in zip(_top_level(schema), names, strict=True)))
+    row = lambda r: F.struct(*(_literal(v).cast(c.split(" ", 1)[1]).alias(n) for v, c, n in zip(r, _top_level(schema), names, strict=True)))
+    return spark.range(1).select(F.explode(F.array(*map(row, rows))).alias("r")).select("r.*")
+
+
+def _literal(v):
+    if isinstance(v, list):
+        return F.array(*map(_literal, v))
+    if isinstance(v, tuple):
+        return F.struct(*map(_literal, v))
+    return F.lit(v)
+
+
+def _top_level(schema: str) -> list[str]:
+    """The columns of a schema string, commas inside < > left alone."""
+    out, depth = [""], 0
+    for c in schema:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [c.strip() for c in out]
+
+
 def row_key(*columns: str):
     """A 64-bit key of a row, equal for equal values, null-safe. Callers must bear a collision."""
     return F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in columns))

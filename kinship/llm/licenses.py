@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key
+from .common import constant, row_key
 from .decontaminate import loose_words
 
 #: Short notices by which texts name their licence: (SPDX identifier, notice).
@@ -37,7 +37,7 @@ def _bigrams(w: Column) -> Column:
 
 def templates(spark: SparkSession, notices=TEMPLATES) -> DataFrame:
     """(template, license, notice) numbered by place."""
-    return spark.createDataFrame([(i, *x) for i, x in enumerate(notices)], "template int, license string, notice string")
+    return constant(spark, [(i, *x) for i, x in enumerate(notices)], "template int, license string, notice string")
 
 
 def license_matches(docs: DataFrame, min_dice: tuple[int, int] = (4, 5), notices=TEMPLATES, text: str = "text", key: str = "key") -> DataFrame:
