@@ -208,7 +208,7 @@ def lm_scores(docs: DataFrame, held_out, order: int = 2, strength: tuple[float,
     if order not in (1, 2) or len(strength) < order - 1:
         raise ValueError("order is 1 or 2, with a strength for each order from 2")
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    chunks = partitions_for(d, 12)
+    chunks = partitions_for(docs, 12)
     buckets = min(chunks, 1 << 15)
     d = d.withColumn("chunk", F.pmod(row_key("doc_id", "text"), F.lit(chunks)).cast("int")).select("chunk", "doc_id", "held_out", "text")
     asked = d.groupBy("chunk").applyInArrow(_asked(order, buckets), "bucket int, n int, chunk int, size long, keys binary, counts binary")
