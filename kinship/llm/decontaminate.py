@@ -18,9 +18,14 @@ def words(text: Column) -> Column:
 
 
 def loose_words(text: Column) -> Column:
-    """As words(), with all letters lower-cased, which is faster. Each word here is the full lower case of the word at the same
-    place there: equal words stay equal, so this can propose matches but not prove them."""
-    return _split(F.lower(text))
+    """As words(), with all letters lower-cased, which is faster. Each word here is a fold of the word at the same place there: equal
+    words stay equal, so this can propose matches but not prove them."""
+    return _split(folded(text))
+
+
+def folded(text: Column) -> Column:
+    """Lower case that does not depend on what stands beside a letter, as that of a final sigma does."""
+    return F.replace(F.lower(text), F.lit("ς"), F.lit("σ"))
 
 
 def _split(text: Column) -> Column:
@@ -80,8 +85,8 @@ def decontaminate(
     index = stored(windows(items, size, item_id, item_text), "windows")
     lengths = sorted(r[0] for r in index.select("k").distinct().collect())  # three at most
 
-    # All shingles of the benchmark, by hash of the fully lower-cased words.
-    low = F.transform("window", lambda x: F.lower(x))
+    # All shingles of the benchmark, by hash of the folded words.
+    low = F.transform("window", folded)
     shingled = None
     for k in lengths:
         part = index.where(F.col("k") == k).select("item_id", "window", F.posexplode(_shingles(low, k)).alias("at", "h"))

@@ -37,7 +37,7 @@ def run(spark, docs, items, **k):
 
 
 PASSAGE = "the quick brown fox jumps over the lazy dog and runs away from all of the other animals"
-ITEM = [(1, PASSAGE), (2, "One Two"), (10, "single"), (3, ""), (4, None), (5, "é É x"), (6, "a b c a b c a b c a b c a b c")]
+ITEM = [(1, PASSAGE), (2, "One Two"), (10, "single"), (3, ""), (4, None), (5, "é É x"), (6, "a b c a b c a b c a b c a b c"), (7, "ΟΔΟΣ'Α ΟΔΟΣ")]
 TEXTS = [
     (1, PASSAGE.upper()),
     (2, "before " + PASSAGE.replace(" ", ", ") + " after"),
@@ -55,6 +55,7 @@ TEXTS = [
     (None, PASSAGE),
     (14, "filler " * 20000 + PASSAGE),
     (14, "other text, same id"),
+    (16, "ΟΔΟΣ Α ΟΔΟΣ'"),
     (15, "İstanbul " + PASSAGE + " ẞ K"),
 ]
 
