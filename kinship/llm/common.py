@@ -7,6 +7,8 @@ import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +29,27 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A path in the shared folder that nothing has yet. Unless it is to be kept, what is written there goes with the scope."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not keep and _made.get() is not None:
+        _made.get().append(path)
+    return path
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Delete the tables that operators store inside, once what they returned has been written elsewhere."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        for path in _made.get():
+            drop(spark, path)
+        _made.reset(token)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

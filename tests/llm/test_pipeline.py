@@ -72,7 +72,13 @@ def test_token_files(spark, stages, vocabulary):
     assert [tuple(r) for r in stages[5].orderBy("start").collect()] == want
 
 
-def test_run_is_the_stages(spark, tmp_path):
+def test_run_is_the_stages(spark, tmp_path, monkeypatch):
+    import os
+
+    from kinship.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
     got = cp.run(spark, SF)
+    assert sorted(p.rsplit("-", 1)[0] for p in os.listdir(tmp_path)) == ["stage-token-ids", "token_ids"]
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.count() > 150
     assert cp.ORACLE_SQL is None
