@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinship.llm.common import new_path, table
+from kinship.llm.common import drop, new_path, scope, table
 from kinship.llm.decontaminate import remove_contaminated
 from kinship.llm.langid import fit, fold, judged
 from kinship.llm.mixing import mixed
@@ -44,7 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in range-coded files, and what each document has in them."""
-    path = new_path(spark, "token_ids")
+    path = new_path(spark, "token_ids", keep=True)
     write_tokens(docs, path, public_tokenizers.path(TOKENIZER), END_ID)
     return read_tokens(spark, path, ids=False)
 
@@ -61,10 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written to the shared folder and read again. What a stage read or stored on its way is deleted
+    once it is written; the token files and the last stage's rows stay."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = new_path(spark, "stage-" + name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        path = new_path(spark, "stage-" + name.replace(" ", "-"), keep=True)
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            drop(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
