@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, stored
+from .common import lean, row_key, stored
 from .textbytes import combined, mix, pieces, word_hashes
 
 BANDS = 32
 #: Classes of a block; two blocks are compared in one task.
 BLOCK, BLOCK_SEED = 512, (1 << 31) - 1
-_ROUND = 0xA0761D6478BD642F
+_ROUND, _SIGN = 0xA0761D6478BD642F, -(1 << 63)
 
 
 def rows_per_band(threshold: float, bands: int = BANDS, miss: float = 1e-5) -> int:
@@ -120,10 +120,10 @@ def _sketch_batches(k: int, bands: int, r: int):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, n, row, h in _sets(b.column(1), k):
+            for at, n, row, h in _sets(b.column(2), k):
                 size = np.bincount(row, minlength=n)[:n]
                 lists = _bands(sketches(n, row, h, bands * r), bands)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), pa.array(size.astype(np.int64)), pa.array(signatures(n, row, h), pa.binary()), lists], ["doc_id", "n", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), b.column(1).slice(at, n), pa.array(size.astype(np.int64)), pa.array(signatures(n, row, h), pa.binary()), lists], ["doc_id", "key", "n", "set", "bands"])
 
     return run
 
@@ -143,7 +143,7 @@ def _set_batches(k: int):
         for b in batches:
             for _, n, row, h in _sets(b.column(0), k):
                 ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n)[:n])))
-                yield pa.RecordBatch.from_arrays([pa.array(signatures(n, row, h), pa.binary()), pa.array([h[ends[i] : ends[i + 1]].tobytes() for i in range(n)], pa.binary())], ["sig", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(signatures(n, row, h), pa.binary()), pa.array([h[ends[i] : ends[i + 1]].tobytes() for i in range(n)], pa.binary())], ["set", "hashes"])
 
     return run
 
@@ -242,7 +242,7 @@ def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row of docs: doc_id, n_shingles, component_id, kept.
+    """For each row of docs: doc_id, n_shingles, component_id, key (a hash of id and text), kept.
 
     Rows are linked if the sets of k-word shingles of their lower-cased (A-Z) texts have a Jaccard similarity of threshold (a
     fraction) or more; component_id is the least doc_id reachable. kept tells the row with that doc_id, so that where ids do not
@@ -253,20 +253,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4
     up, down = threshold
     r = rows_per_band(up / down)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = stored(docs.mapInArrow(_sketch_batches(k, BANDS, r), "doc_id long, n long, sig binary, bands array<long>"), "sketches")
-    named = rows.where("sig is not null and doc_id is not null")
-    classes = named.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    classes = stored(classes, "classes")
+    docs = docs.withColumn("key", row_key("doc_id", "text"))
+    rows = stored(docs.select("doc_id", "key", "text").mapInArrow(_sketch_batches(k, BANDS, r), "doc_id long, key long, n long, set binary, bands array<long>"), "sketches")
+    named = rows.where("set is not null and doc_id is not null")
+    classes = named.groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    # A class goes by its least doc_id and its set, in bytes that sort like the doc_id: a component's least name tells its least doc_id.
+    name = F.concat(F.unhex(F.lpad(F.hex(F.col("doc_id").bitwiseXOR(F.lit(_SIGN))), 16, "0")), F.col("set"))
+    classes = stored(classes.withColumn("sig", name), "classes")
     # Buckets of two classes or more.
-    members = classes.select("sig", "n", F.explode("bands").alias("bucket"))
+    members = classes.select("sig", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("c"), F.min("sig").alias("hub")).where("c > 1")
     members = stored(members.join(shared, "bucket"), "members")
     star = members.where("sig <> hub").select(F.col("hub").alias("a"), F.col("sig").alias("b")).distinct()
     # Full sets of the classes that share a bucket, computed again from their texts.
-    wanted = members.select("sig").distinct()
-    texts = docs.join(classes.join(wanted, "sig", "left_semi").select("doc_id"), "doc_id", "left_semi")
-    sets = texts.select("text").mapInArrow(_set_batches(k), "sig binary, hashes binary")
-    sets = stored(sets.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.first("hashes").alias("hashes")), "sets")
+    wanted = stored(classes.select("sig", "set", "doc_id").join(members.select("sig").distinct(), "sig", "left_semi"), "wanted")
+    texts = docs.select("doc_id", "text").join(wanted.select("doc_id"), "doc_id", "left_semi")
+    sets = texts.select("text").mapInArrow(_set_batches(k), "set binary, hashes binary")
+    sets = stored(sets.join(wanted.select("sig", "set"), "set").groupBy("sig").agg(F.first("hashes").alias("hashes")), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
         full = pairs.join(sets.withColumnsRenamed({"sig": "a", "hashes": "x"}), "a").join(sets.withColumnsRenamed({"sig": "b", "hashes": "y"}), "b")
@@ -295,14 +298,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4
     tiled = tiled.join(stored(mixed, "tiles"), ["bucket", "i", "j"]).join(sets, "sig")
     links = tiled.groupBy("bucket", "i", "j").applyInArrow(_tile(up, down), "a binary, b binary")
     comp = merged(comp, stored(links.distinct(), "links"))
-    root = classes.select("sig", "doc_id").join(comp.withColumnRenamed("v", "sig"), "sig").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    to = classes.select("sig", "doc_id").join(comp.withColumnRenamed("v", "sig"), "sig", "left").join(root, "comp", "left").select("sig", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(stored(to, "roots"), "sig", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    least = F.conv(F.hex(F.substring(F.coalesce("comp", "sig"), 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(_SIGN))
+    to = classes.select("set", "sig").join(comp.withColumnRenamed("v", "sig"), "sig", "left").select("set", least.alias("component_id"))
+    out = rows.select("doc_id", "key", F.col("n").alias("n_shingles"), "set").join(stored(to, "roots"), "set", "left")
+    component = F.when(F.col("set").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), "key")
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
-    """The rows of docs, all columns, whose document is kept; docs must have doc_id and text."""
-    gone = near_duplicates(docs, k, threshold).where("not kept").select(F.col("doc_id").alias("id")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    return rows.join(stored(gone, "copies"), "id", "left_anti").select("row.*")
+    """The rows of docs, all columns, whose document is kept; docs must have doc_id and text. Rows that agree in both are one document,
+    and stay or go together."""
+    gone = near_duplicates(docs, k, threshold).where("not kept").select("key").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), row_key("doc_id", "text").alias("key"))
+    return rows.join(stored(gone, "copies"), "key", "left_anti").select("row.*")

@@ -50,7 +50,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), 3, (85, 100))
+    return near_duplicates(table(spark, sf_dir, "documents"), 3, (85, 100)).drop("key")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,3 +83,20 @@ FROM documents d LEFT JOIN g USING (doc_id)
 
 
 ORACLES["op8_license"] = _license_sql()
+
+ORACLES["op6_minhash"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i : i + 2], ' '))) AS s FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+ends AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach AS (SELECT x, y FROM ends UNION SELECT r.x, b.y FROM reach r JOIN ends b ON r.y = b.x),
+least_of AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(l.y, d.doc_id)) AS component_id,
+       coalesce(l.y, d.doc_id) >= d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least_of l ON l.x = d.doc_id
+"""

@@ -37,7 +37,8 @@ def brute(docs, k, up, down):
 
 
 def run(spark, docs, k=3, threshold=(85, 100)):
-    rows = nd.near_duplicates(spark.createDataFrame(docs, DOCS), k, threshold).collect()
+    df = spark.createDataFrame(docs, DOCS).selectExpr("*", "1 AS key", "'x' AS set", "2 AS n", "3 AS sig")
+    rows = nd.near_duplicates(df, k, threshold).collect()
     for r in rows:
         assert r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["component_id"])
     return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows), key=str)
@@ -68,7 +69,7 @@ def test_against_brute_force(spark, k, threshold):
 
 def test_edge_rows(spark):
     long = " ".join(f"w{i % 9000}" for i in range(20000))
-    docs = [(5, None), (4, ""), (3, " \t\n"), (9, "one two"), (8, "ONE\ttwo"), (7, "two one"), (None, "one two"), (None, None), (1, long), (2, long + " tail"), (2, "same id, other text entirely here"), (6, "a b c"), (6, "a b c"), (10, "É a b c d"), (11, "é a b c d")]
+    docs = [(5, None), (4, ""), (3, " \t\n"), (9, "one two"), (8, "ONE\ttwo"), (7, "two one"), (None, "one two"), (None, None), (1, long), (2, long + " tail"), (2, "same id, other text entirely here"), (6, "a b c"), (6, "a b c"), (10, "É a b c d"), (11, "é a b c d"), (-5, "neg one two three four"), (3, "neg one two three four"), (-(1 << 63), "least of all ids here"), ((1 << 63) - 1, "least of all ids here")]
     assert run(spark, docs) == brute(docs, 3, 85, 100)
 
 
@@ -130,3 +131,6 @@ def test_one_of_each_keeps_columns(spark):
     out = nd.one_of_each(docs)
     assert out.columns == docs.columns
     assert sorted(r["sig"] for r in out.collect()) == ["u", "y", "z"]
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "another text that has no copy"), (3, "twice the same row here now"), (3, "twice the same row here now")]
+    out = nd.one_of_each(spark.createDataFrame(rows, DOCS))
+    assert sorted(r["text"] for r in out.collect()) == ["a b c d e f", "another text that has no copy", *["twice the same row here now"] * 2]

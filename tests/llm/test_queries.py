@@ -20,7 +20,7 @@ def norm(v):
     return "nan" if isinstance(v, float) and math.isnan(v) else f"{v:.6f}" if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", ["op1_decontaminate", "op5_chat", "op7_warc", "op8_license"])
+@pytest.mark.parametrize("name", ["op1_decontaminate", "op5_chat", "op6_minhash", "op7_warc", "op8_license"])
 def test_query(spark, duck, name):
     from kinship.llm import queries as q
 
