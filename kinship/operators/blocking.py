@@ -13,6 +13,10 @@ from pyspark.sql.window import Window
 from ..config import LinkConfig
 
 
+#: The share of a country's targets from which a gram is common; bounds may be off by so much from rounding.
+COMMON, _SLACK = 0.002, 1e-6
+
+
 def char_grams(text: Column, n: int) -> Column:
     """Runs of n characters of each word with a space at both ends; a shorter word is one run."""
     words = F.filter(F.split(text, " "), lambda w: w != "")
@@ -37,14 +41,14 @@ def vocabulary(tf: DataFrame, records: DataFrame, min_df: int, max_df: float) ->
     df = tf.groupBy("country", "gram").agg(F.count("*").alias("df"))
     n = records.groupBy("country").agg(F.count("*").alias("n"))
     df = df.join(F.broadcast(n), "country").where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))  # a row a country
-    return df.select("country", "gram", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return df.select("country", "gram", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"), (F.col("df") / F.col("n")).alias("share"))
 
 
 def weights(tf: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(country, id, gram, w): tf idf over the vocabulary, each record's norm 1."""
-    raw = tf.join(vocab.select("country", "gram", "idf"), ["country", "gram"]).select("country", "id", "gram", (F.col("tf") * F.col("idf")).alias("x"))
+    """(country, id, gram, w, share): tf idf over the vocabulary, each record's norm 1."""
+    raw = tf.join(vocab.select("country", "gram", "idf", "share"), ["country", "gram"]).select("country", "id", "gram", (F.col("tf") * F.col("idf")).alias("x"), "share")
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("country", "id")))
-    return raw.select("country", "id", "gram", (F.col("x") / norm).alias("w"))
+    return raw.select("country", "id", "gram", (F.col("x") / norm).alias("w"), "share")
 
 
 def top_per_source(scores: DataFrame, k: int, score: str) -> DataFrame:
@@ -56,15 +60,27 @@ def top_per_source(scores: DataFrame, k: int, score: str) -> DataFrame:
 def cosine_topk(s1: DataFrame, targets: DataFrame, grams: Column, k: int, min_sim: float, min_df: int = 2, max_df: float = 0.5) -> DataFrame:
     """(country, s1_id, tgt_id, cos): for each source record the k targets of the highest cosine above min_sim.
 
-    The vocabulary is that of the targets. Grams meet in an equi-join; products are summed by the pair's two 64-bit keys, and ids come
-    back only for what is left. A source's postings are dealt by source, so that where the targets' postings are small enough to be
-    broadcast, the sums need no further exchange."""
-    key = lambda df: df.withColumn("rid", F.xxhash64("country", "id"))
+    The vocabulary is that of the targets. Grams meet in an equi-join whose cost is the sum of the grams' frequencies, so most of it
+    would be spent on the commonest grams, which weigh least. A source leaves out of the join as many of its common grams, the commonest
+    first, as have a norm under min_sim together: targets that share only those cannot reach min_sim. For a pair that does meet, what
+    was left out can add no more than that norm times the norm of the target's common grams (Cauchy and Schwarz); only pairs that can
+    still reach min_sim are completed. So no pair is lost, and cosines are exact. Products are summed by the pair's two 64-bit keys;
+    ids come back only for what is left."""
+    keyed = lambda df: df.withColumns({"rid": F.xxhash64("country", "id"), "g": F.xxhash64("country", "gram"), "common": F.col("share") >= COMMON})
     t_tf = term_counts(targets, grams)
     vocab = vocabulary(t_tf, targets, min_df, max_df)
-    t = key(weights(t_tf, vocab)).select("country", F.xxhash64("country", "gram").alias("g"), F.col("rid").alias("t"), F.col("w").alias("wt"))
-    s = key(weights(term_counts(s1, grams), vocab)).select("country", F.xxhash64("country", "gram").alias("g"), F.col("rid").alias("s"), F.col("w").alias("ws"))
-    sums = s.join(t.drop("country"), "g").groupBy("s", "t").agg(F.sum(F.col("ws") * F.col("wt")).alias("cos"))
+    of = Window.partitionBy("country", "id")
+    t = keyed(weights(t_tf, vocab)).withColumn("norm", F.sqrt(F.sum(F.when(F.col("common"), F.col("w") * F.col("w")).otherwise(0.0)).over(of)))
+    t = t.select("g", F.col("rid").alias("t"), F.col("w").alias("wt"), "norm")
+    s = keyed(weights(term_counts(s1, grams), vocab))
+    upto = F.sum(F.col("w") * F.col("w")).over(of.orderBy(F.col("share").desc(), "gram").rowsBetween(Window.unboundedPreceding, 0))
+    s = s.withColumn("upto", upto).withColumn("out", F.col("common") & (F.col("upto") < (min_sim - _SLACK) ** 2))
+    s = s.withColumn("rest", F.sqrt(F.coalesce(F.max(F.when(F.col("out"), F.col("upto"))).over(of), F.lit(0.0))))
+    s = s.select("g", F.col("rid").alias("s"), F.col("w").alias("ws"), "out", "rest")
+    met = s.where("not out").join(t, "g").groupBy("s", "t").agg(F.sum(F.col("ws") * F.col("wt")).alias("part"), F.max(F.col("rest") * F.col("norm")).alias("more"))
+    met = met.where(F.col("part") + F.col("more") > min_sim - _SLACK)
+    left = met.join(s.where("out").select("s", "g", "ws"), "s", "left").join(t.select("t", "g", "wt"), ["t", "g"], "left")
+    sums = left.groupBy("s", "t").agg((F.max("part") + F.coalesce(F.sum(F.col("ws") * F.col("wt")), F.lit(0.0))).alias("cos"))
     sums = sums.where(F.round("cos", 6) > min_sim)
     # No more than k for a source go on, but for ties, which ids decide after they are back.
     w = Window.partitionBy("s").orderBy(F.round("cos", 6).desc())

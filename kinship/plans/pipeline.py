@@ -20,33 +20,35 @@ class Trained:
     score: float
 
 
-def prepared(records: DataFrame, romanise: bool = True) -> DataFrame:
-    return record_columns(normalize(records, romanise))
+def prepared(records: DataFrame, path: str, romanise: bool = True) -> DataFrame:
+    """Normalised records, stored at path: blocking and features read them many times."""
+    return _stored(record_columns(normalize(records, romanise)), path)
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def featured(s1: DataFrame, targets: DataFrame, cfg: LinkConfig, work: str) -> tuple[DataFrame, DataFrame]:
     """(candidates, features), candidates stored under work."""
-    spark = s1.sparkSession
-    blocking.candidate_union(s1, targets, cfg).write.mode("overwrite").parquet(f"{work}/candidates")
-    cands = spark.read.parquet(f"{work}/candidates")
+    cands = _stored(blocking.candidate_union(s1, targets, cfg), f"{work}/candidates")
     return cands, features.pair_features(cands, s1, targets)
 
 
 def train(spark: SparkSession, root: str, out: str, cfg: LinkConfig = LinkConfig(), sample: int = 30_000, valid_fraction: float = 0.25, seed: int = 42, iterations: int = 60) -> Trained:
     """Fit on sample source records of each country against all targets; the threshold is the best over all held-out entities."""
     s1, targets = tsv.load_split(spark, root, "train")
-    s1, targets = model.sample_entities(prepared(s1), sample, seed), prepared(targets)
+    s1, targets = prepared(model.sample_entities(s1, sample, seed), f"{out}/work/s1"), prepared(targets, f"{out}/work/targets")
     cands, pairs = featured(s1, targets, cfg, f"{out}/work")
     truth = tsv.truth_for(tsv.read_ground_truth(spark, f"{root}/train_ground_truth.tsv"), s1, targets)
-    blocking.labelled(pairs, truth).write.mode("overwrite").parquet(f"{out}/work/labelled")
-    data = spark.read.parquet(f"{out}/work/labelled")
+    data = _stored(blocking.labelled(pairs, truth), f"{out}/work/labelled")
     split = model.group_split(s1, valid_fraction, seed)
     fitted = model.train(data, split, iterations=iterations, seed=seed)
     fitted.write().overwrite().save(f"{out}/model")
     held = split.where("held_out")
     scored = model.predict(fitted, data.join(held.select(F.col("entity_id").alias("s1_id")), "s1_id", "left_semi"))
-    scored.select("country", "s1_id", "tgt_id", "p", "label").write.mode("overwrite").parquet(f"{out}/work/valid")
-    scored = spark.read.parquet(f"{out}/work/valid")
+    scored = _stored(scored.select("country", "s1_id", "tgt_id", "p", "label"), f"{out}/work/valid")
     own = truth.join(held.select(F.col("entity_id").alias("s1_id")), "s1_id", "left_semi")
     curve = decide.sweep(scored, own, held).orderBy("threshold").collect()
     best = max(curve, key=lambda r: (round(r["macro_f05"], 9), -r["threshold"]))
@@ -62,8 +64,8 @@ def predict(spark: SparkSession, root: str, artifacts: str, out: str, split: str
     """Score a split, store the scores, write matches and candidates. Countries unknown to training are linked like any other."""
     from pyspark.ml import PipelineModel
 
-    s1, targets = (prepared(x) for x in tsv.load_split(spark, root, split, country))
-    s1 = tsv.shard_of(s1, shard, shards)
+    s1, targets = tsv.load_split(spark, root, split, country)
+    s1, targets = prepared(tsv.shard_of(s1, shard, shards), f"{out}/work/s1"), prepared(targets, f"{out}/work/targets")
     cands, pairs = featured(s1, targets, cfg, f"{out}/work")
     if decision is None:
         decision = DecideConfig(threshold=sinks.load_json(spark, f"{artifacts}/threshold")["threshold"])
