@@ -56,10 +56,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts the lineage, survives lost executors, and gives the
     optimizer the size of the table, so that it broadcasts only what is under spark.sql.autoBroadcastJoinThreshold."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000):
+    """Arrow batches of so many rows at most, as rows hold whole texts; for jobs that run inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a path by the file system that it names."""
     jvm = spark.sparkContext._jvm

@@ -155,12 +155,15 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", most: int =
     share = F.create_map(*(F.lit(v) for x in langs for v in (x, min(1.0, most / total[x]))))
     die = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.where(die < share[F.col("lang")])
-    got = sample.mapInArrow(_counts, "lang string, ids array<int>, counts array<long>").toArrow().to_pydict()
+    got = sample.mapInArrow(_counts, "lang string, ids array<int>, counts array<long>").toArrow()
     x = []
-    for i, (a, b) in enumerate(zip(got["ids"], got["counts"], strict=True)):
-        if a:
-            w = np.array(b, float)
-            x.append({"y": langs.index(got["lang"][i]), "ids": np.array(a), "weight": w / w.sum(), "key": (a, b)})
+    for b in got.to_batches():
+        ids, counts = (c.values.to_numpy(zero_copy_only=False) for c in b.columns[1:])
+        at = b.column(1).offsets.to_numpy()
+        for i, lang_ in enumerate(b.column(0).to_pylist()):
+            mine, often = ids[at[i] : at[i + 1]], counts[at[i] : at[i + 1]]
+            if len(mine):
+                x.append({"y": langs.index(lang_), "ids": mine, "weight": often / often.sum(), "key": (mine.tobytes(), often.tobytes())})
     if not x:
         return Model(langs, np.zeros((len(langs), (1 << BITS) + 1), np.float32), np.zeros(len(langs)), 0.0)
     x.sort(key=lambda r: (r["y"], r["key"]))  # whatever the order in which rows came

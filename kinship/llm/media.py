@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import lean, small_batches
 from .webp import SIDE, decode, encode_plain
 
 #: Bytes of a row of pixels; payloads are padded to a multiple.
@@ -63,7 +63,8 @@ def write_media(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
 
     Rows stand for themselves: ids may repeat or be null. Other columns are not read."""
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    d.mapInArrow(_stored, "doc_id long, n_bytes long, payload_bytes long, media binary").write.option("compression", "zstd").parquet(path)
+    with small_batches(docs.sparkSession):
+        d.mapInArrow(_stored, "doc_id long, n_bytes long, payload_bytes long, media binary").write.option("compression", "zstd").parquet(path)
 
 
 @lean
