@@ -25,15 +25,13 @@ import numpy as np
 
 MAGIC = b"KTB2"
 _HEAD, _CRC = struct.Struct("<4sIIIII"), struct.Struct("<I")
-LANES, STEPS = 8192, 128
+LANES, STEPS = 16384, 64
 #: Ids that share a block, unless one document has more.
 BLOCK = LANES * STEPS
-_HASH, _FLAG, _ID = 18, 12, 22
+_HASH, _FLAG, _ID = 16, 12, 22
 #: Units of an id's probability that share an entry of the table by which it is found.
 _COARSE = 8
 _U = np.uint64
-#: The next confidence, by whether the predictor was right and the confidence.
-_STEP = np.array([[0, 0, 1, 1, 2, 2, 3, 3], [1, 2, 3, 4, 5, 6, 7, 7]], np.int8)
 _LOW32, _MIN = _U(0xFFFFFFFF), _U(1 << 32)
 
 
@@ -42,11 +40,10 @@ class CorruptBlock(ValueError):
 
 
 class _Model:
-    """What both directions know before a step."""
+    """What both directions know before a step. Predictions are kept with their confidence in the lowest three bits."""
 
     def __init__(self, lanes: int, size: int, decodes: bool):
-        self.pred1, self.sure1 = np.zeros(size + 1, np.int32), np.zeros(size + 1, np.int8)
-        self.pred2, self.sure2 = np.zeros(1 << _HASH, np.int32), np.zeros(1 << _HASH, np.int8)
+        self.order1, self.order2 = np.zeros(size + 1, np.int32), np.zeros(1 << _HASH, np.int32)
         self.last = np.full(lanes, size, np.int32)  # no id yet
         self.before = self.last.copy()
         self.share = np.ones((64, 3), np.int64)
@@ -64,13 +61,14 @@ class _Model:
             self.share[big] = (self.share[big] + 1) >> 1
             total = self.share.sum(1)
         f = 1 + self.share[:, :2] * ((1 << _FLAG) - 3) // total[:, None]
-        # Where the interval of each predictor begins in a context, by context and predictor, and how wide it is.
-        self.begin = np.zeros((64, 4), np.uint64)
-        self.begin[:, 1] = f[:, 0]
-        self.begin[:, 2] = f[:, 0] + f[:, 1]
-        self.begin[:, 3] = 1 << _FLAG
-        self.to2, self.to1 = self.begin[:, 1].copy(), self.begin[:, 2].copy()
-        self.begin = self.begin.reshape(-1)
+        # Where the interval of each predictor begins in a context, and how wide it is, by context and predictor.
+        begin = np.zeros((64, 4), np.uint64)
+        begin[:, 1] = f[:, 0]
+        begin[:, 2] = f[:, 0] + f[:, 1]
+        begin[:, 3] = 1 << _FLAG
+        self.to2, self.to1 = begin[:, 1].copy(), begin[:, 2].copy()
+        self.begin = begin.reshape(-1)
+        self.wide = np.diff(self.begin, append=np.uint64(0))
 
     def _counts(self) -> None:
         for x in self.fresh:
@@ -80,37 +78,42 @@ class _Model:
         # An eighth of the scale, or one unit an id, for ids not seen yet; the rest by counts.
         floor = max(1, (1 << _ID) // 8 // max(v, 1)) if total else (1 << _ID) // v
         rest = (1 << _ID) - floor * v
-        f = floor + (self.count * rest // total if total else 0)
-        self.cum = np.zeros(v + 1, np.uint64)
-        np.cumsum(np.broadcast_to(f, v), out=self.cum[1:].view(np.int64))
+        f = np.zeros(v + 1, np.int64)  # the last place is of lanes that code no id in a step
+        f[:v] = floor + (self.count * rest // total if total else 0)
+        self.id_wide = f.view(np.uint64)
+        cum = np.cumsum(f[:v]) - f[:v]
+        self.id_begin = np.append(cum, 0).view(np.uint64)
         if self.decodes:
+            self.cum = np.append(cum, cum[-1] + f[v - 1]).view(np.uint64)
             self.near = np.searchsorted(self.cum, np.arange(0, 1 << _ID, 1 << _COARSE, dtype=np.uint64), "right").astype(np.int32) - 1
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """The id in whose interval each number lies."""
-        out = self.near[(x >> _U(_COARSE)).astype(np.int64)]
-        todo = np.flatnonzero((self.cum[out + 1] <= x) & (out < len(self.count) - 1))
+        most = len(self.count) - 1
+        out = np.minimum(self.near[(x >> _U(_COARSE)).astype(np.int64)], most)
+        todo = np.flatnonzero((self.cum[out + 1] <= x) & (out < most))
         for _ in range(3):
             if not len(todo):
                 return out
             out[todo] += 1
-            todo = todo[(self.cum[out[todo] + 1] <= x[todo]) & (out[todo] < len(self.count) - 1)]
-        out[todo] = np.minimum(np.searchsorted(self.cum, x[todo], "right") - 1, len(self.count) - 1)
+            todo = todo[(self.cum[out[todo] + 1] <= x[todo]) & (out[todo] < most)]
+        out[todo] = np.minimum(np.searchsorted(self.cum, x[todo], "right") - 1, most)
         return out
 
     def look(self) -> None:
-        self.key = ((self.before * np.int32(-1640531535) + self.last * np.int32(-2048144777)).view(np.uint32) >> np.uint32(32 - _HASH)).astype(np.int32)
-        self.p1, self.p2 = self.pred1[self.last], self.pred2[self.key]
-        self.s1, self.s2 = self.sure1[self.last], self.sure2[self.key]
+        self.key = ((self.before * np.int32(-1640531535) + self.last * np.int32(-2048144777)).view(np.uint32) >> np.uint32(32 - _HASH)).view(np.int32)
+        self.m1, self.m2 = self.order1[self.last], self.order2[self.key]
+        self.s1, self.s2 = self.m1 & 7, self.m2 & 7
+        self.p1, self.p2 = self.m1 >> 3, self.m2 >> 3
         self.ctx = (self.s2 << 3) | self.s1
 
     def learn(self, ids: np.ndarray, right1: np.ndarray, right2: np.ndarray, which: np.ndarray, literals: np.ndarray) -> None:
         """which: 0, 1 or 2, for order 2, order 1, order 0."""
-        self.share += 24 * np.bincount(self.ctx * np.int16(3) + which, minlength=192).reshape(64, 3)
-        for pred, sure, at, hit, s in ((self.pred1, self.sure1, self.last, right1, self.s1), (self.pred2, self.sure2, self.key, right2, self.s2)):
-            sure[at] = _STEP[hit.view(np.int8), s]
-            new = np.flatnonzero(~hit & (s < 2))
-            pred[at[new]] = ids[new]
+        self.share += 24 * np.bincount(self.ctx * np.int32(3) + which, minlength=192).reshape(64, 3)
+        new = ids << np.int32(3)
+        for order, at, hit, m, s in ((self.order1, self.last, right1, self.m1, self.s1), (self.order2, self.key, right2, self.m2, self.s2)):
+            # Right: more sure. Wrong: half as sure, or, if not sure, the id that came.
+            order[at] = np.where(hit, m + (s < 7), np.where(s < 2, new, m - ((s + 1) >> 1)))
         if len(literals):
             self.fresh.append(literals)
             self.seen += len(literals)
@@ -155,33 +158,36 @@ def encode(ids: np.ndarray) -> bytes:
         low[at] = (x & _LOW32) << _U(16)
         width[at] <<= _U(16)
 
+    none = np.int32(max(1, len(alphabet)))
     for step in range(steps):
         now = grid[step]
         model.look()
         right2, right1 = model.p2 == now, model.p1 == now
-        which = np.where(right2, np.int8(0), np.where(right1, np.int8(1), np.int8(2)))
-        place = model.ctx.astype(np.int16) * np.int16(4) + which
+        some = right1 | right2
+        which = np.int8(2) - some.view(np.int8) - right2.view(np.int8)
+        place = (model.ctx << 2) + which
         unit = width >> _U(_FLAG)
-        begin = model.begin[place]
-        low += begin * unit
-        width = (model.begin[place + 1] - begin) * unit
+        low += model.begin[place] * unit
+        width = model.wide[place] * unit
         if len(at := np.flatnonzero(width <= _MIN)):
             emit(at)
-        lit = np.flatnonzero(which == 2)
-        x = now[lit]
-        if len(lit):
-            unit = width[lit] >> _U(_ID)
-            begin = model.cum[x]
-            low[lit] += begin * unit
-            width[lit] = w = (model.cum[x + 1] - begin) * unit
-            if len(at := lit[w <= _MIN]):
+        x = np.where(some, none, now)
+        unit = width >> _U(_ID)
+        low += model.id_begin[x] * unit
+        width = np.where(some, width, model.id_wide[x] * unit)
+        if len(at := np.flatnonzero(width <= _MIN)):
+            emit(at)
+            if len(at := at[width[at] <= _MIN]):
                 emit(at)
-                if len(at := at[width[at] <= _MIN]):
-                    emit(at)
-        model.learn(now, right1, right2, which, x)
-    everyone = np.arange(lanes)
-    for _ in range(3 if steps else 0):
-        emit(everyone)
+        model.learn(now, right1, right2, which, now[~some])
+    if steps:
+        # A number in each lane's interval whose next 2**32, or else 2**16, numbers are in it too, so that what a decoder reads after the
+        # lane's words does not matter.
+        short = ((low + _LOW32) >> _U(32)) << _U(32)
+        one = short + _MIN <= low + width
+        low = np.where(one, short, ((low + _U(0xFFFF)) >> _U(16)) << _U(16))
+        emit(np.arange(lanes))
+        emit(np.flatnonzero(~one))
     carry = np.zeros(lanes, np.uint32)
     for i in range(int(used.max(initial=0)) - 1, -1, -1):
         w = words[i] + carry
@@ -210,50 +216,45 @@ def decode(block: bytes) -> np.ndarray:
     kind = "<u2" if steps <= 16384 else "<u4"
     first = np.dtype(kind).itemsize * lanes
     used = np.frombuffer(body[:first], kind).astype(np.int64)
-    words = np.append(np.frombuffer(body[first:], "<u2"), np.zeros(4 + 3 * lanes, "<u2")).astype(np.uint64)
+    words = np.append(np.frombuffer(body[first:], "<u2"), np.zeros(4 + 3 * lanes, "<u2"))
     at = np.cumsum(used) - used
     model = _Model(lanes, max(1, size), True)
     width = np.full(lanes, 1 << 48, np.uint64)
     rest = np.zeros(lanes, np.uint64)
     for _ in range(3 if steps else 0):
-        rest = (rest << _U(16)) | words[at]
+        rest = (rest << _U(16)) | words[at].astype(np.uint64)
         at += 1
     out = np.zeros((steps, lanes), np.int32)
 
     def take(x: np.ndarray) -> None:
         k = at[x]
-        rest[x] = (rest[x] << _U(16)) | words[k]
+        rest[x] = (rest[x] << _U(16)) | words[k].astype(np.uint64)
         at[x] = k + 1
         width[x] <<= _U(16)
 
+    none = np.int32(max(1, size))
     for step in range(steps):
         model.look()
         unit = width >> _U(_FLAG)
-        to2, to1 = model.to2[model.ctx] * unit, model.to1[model.ctx] * unit
-        is2, is1 = rest < to2, rest < to1  # is1: order 1 or 2
-        which = np.int8(2) - is1.view(np.int8) - is2.view(np.int8)
-        place = model.ctx.astype(np.int16) * np.int16(4) + which
-        begin = model.begin[place]
-        rest -= begin * unit
-        width = (model.begin[place + 1] - begin) * unit
-        if len(x := np.flatnonzero(width <= _MIN)):
-            take(x)
-        now = np.where(is2, model.p2, model.p1)
-        lit = np.flatnonzero(which == 2)
-        x = now[:0]
-        if len(lit):
-            unit = width[lit] >> _U(_ID)
-            r = rest[lit]
-            x = model.find(np.minimum(r // unit, _U((1 << _ID) - 1)))
-            begin = model.cum[x]
-            rest[lit] = r - begin * unit
-            width[lit] = w = (model.cum[x + 1] - begin) * unit
-            if len(k := lit[w <= _MIN]):
-                take(k)
-                if len(k := k[width[k] <= _MIN]):
-                    take(k)
-            now[lit] = x
-        model.learn(now, model.p1 == now, model.p2 == now, which, x)
+        is2, some = rest < model.to2[model.ctx] * unit, rest < model.to1[model.ctx] * unit  # some: order 1 or 2
+        which = np.int8(2) - some.view(np.int8) - is2.view(np.int8)
+        place = (model.ctx << 2) + which
+        rest -= model.begin[place] * unit
+        width = model.wide[place] * unit
+        if len(at_ := np.flatnonzero(width <= _MIN)):
+            take(at_)
+        lit = np.flatnonzero(~some)
+        unit = width >> _U(_ID)
+        x = np.full(lanes, none)
+        x[lit] = model.find(np.minimum(rest[lit] // unit[lit], _U((1 << _ID) - 1)))
+        rest -= model.id_begin[x] * unit
+        width = np.where(some, width, model.id_wide[x] * unit)
+        if len(at_ := np.flatnonzero(width <= _MIN)):
+            take(at_)
+            if len(at_ := at_[width[at_] <= _MIN]):
+                take(at_)
+        now = np.where(is2, model.p2, np.where(some, model.p1, x))
+        model.learn(now, model.p1 == now, model.p2 == now, which, x[lit])
         out[step] = now
     ids = alphabet[out.T.reshape(-1)[:n]].astype("<u4") if n else np.zeros(0, "<u4")
     if zlib.crc32(ids.tobytes()) != crc_ids:

@@ -7,6 +7,7 @@ of that range ahead of the record; doc_id and n_tokens of each document; and blo
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, partitions_for
+from .common import lean, partitions_for, small_batches
 from .rangecoder import BLOCK, decode, encode
 from .textbytes import pieces, span_hashes
 
@@ -105,9 +106,9 @@ class _Table:
 
     def add(self, keys: np.ndarray) -> None:
         """Number new, distinct keys."""
-        if (self.n + len(keys)) * 2 > 1 << self.bits:
+        if (self.n + len(keys)) * 4 > 3 << self.bits:
             old = self.key[self.number >= 0][np.argsort(self.number[self.number >= 0])]
-            while (self.n + len(keys)) * 2 > 1 << self.bits:
+            while (self.n + len(keys)) * 4 > 3 << self.bits:
                 self.bits += 1
             self.key, self.number, self.n = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32), 0
             self.add(old)
@@ -135,43 +136,57 @@ class ByteBpe:
     libraries' Unicode tables might think differently, go to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's name in a text is text
-        self.by_pieces = '"type":"ByteLevel","add_prefix_space":false' in self.tokenizer.to_str().replace(" ", "")
-        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        made = json.loads(self.tokenizer.to_str())
+        cuts = made["pre_tokenizer"] or {}
+        self.by_pieces = made["normalizer"] is None and made["model"]["type"] == "BPE" and cuts.get("type") == "ByteLevel" and not cuts["add_prefix_space"] and cuts.get("use_regex", True) and all(t["special"] for t in made["added_tokens"])
+        if self.by_pieces:
+            self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+            self.blank = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.blank[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True  # a blank's letter in byte-level BPE
         self.most = most
         self._reset()
 
     def _reset(self) -> None:
         self.table = _Table()
         self.flat, self.used = np.zeros(1 << 18, np.int32), 0
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.start, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
 
     def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids) of pieces. Words go to the library many at a time, a newline between them, which is a piece of its
-        own before a word; other pieces go one by one."""
-        word = [p[-1].isalpha() for p in pieces]
-        words = [p for p, w in zip(pieces, word, strict=True) if w]
-        rest = [p for p, w in zip(pieces, word, strict=True) if not w]
-        joined = ["\n".join(words[i : i + 512]) + "\n" for i in range(0, len(words), 512)]
-        ids, sizes = [], np.zeros(len(pieces), np.int64)
-        got = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
-        x = np.concatenate([np.array(e.ids, np.int32) for e in got] or [np.zeros(0, np.int32)])
-        ends = np.flatnonzero(x == self.newline[0])
-        if len(ends) != len(words):
-            raise RuntimeError("the tokenizer does not keep words apart")
-        at = np.array(word, bool)
-        sizes[at] = np.diff(ends, prepend=-1) - 1
-        others = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
-        sizes[~at] = [len(i) for i in others]
+        """(ids, number of ids) of pieces. Words go to the library many at a time: those after a blank one behind the other, as each
+        begins with an id whose bytes begin with a blank, others with a newline between them, which is a piece of its own before a
+        word. Other pieces go one by one."""
+        kind = np.array([(2 if p[0] == " " else 1) if p[-1].isalpha() else 0 for p in pieces], np.int8)
+        sizes = np.zeros(len(pieces), np.int64)
+        parts: list[np.ndarray] = [np.zeros(0, np.int32)] * 3
+        for k in range(3):
+            own = [p for p, x in zip(pieces, kind.tolist(), strict=True) if x == k]
+            if not own:
+                continue
+            if k:
+                gap = "" if k == 2 else "\n"
+                joined = [gap.join(own[i : i + 64]) + gap for i in range(0, len(own), 64)]
+                x = np.concatenate([np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+                if k == 2:
+                    size = np.diff(np.flatnonzero(self.blank[x]), append=len(x))
+                else:
+                    size = np.diff(np.flatnonzero(x == self.newline), prepend=-1) - 1
+                    x = x[x != self.newline]
+                if len(size) != len(own) or size.sum() != len(x):
+                    raise RuntimeError("the tokenizer does not keep words apart")
+            else:
+                ids = [e.ids for e in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
+                size, x = [len(i) for i in ids], np.array([i for y in ids for i in y], np.int32)
+            sizes[kind == k], parts[k] = size, x
         total = np.zeros(int(sizes.sum()), np.int32)
-        of_word = np.repeat(at, sizes)
-        total[of_word] = x[x != self.newline[0]]
-        total[~of_word] = [i for ids in others for i in ids]
+        of = np.repeat(kind, sizes)
+        for k in range(3):
+            total[of == k] = parts[k]
         return total, sizes
 
     def _learn(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, keys: np.ndarray) -> None:
@@ -204,9 +219,9 @@ class ByteBpe:
             distinct, at = np.unique(keys[new], return_index=True)
             self._learn(data, begin[new[at]], end[new[at]], distinct)
             n[new] = self.table.find(keys[new])
-        size = self.size[n].astype(np.int64)
-        ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.start[n] - ends + size, size) + np.arange(ends[-1])]
+        size = self.size[n]
+        ends = np.cumsum(size, dtype=np.int64)
+        ids = self.flat[np.repeat((self.start[n] - ends + size).astype(np.int32), size) + np.arange(ends[-1], dtype=np.int32)]
         return ids, np.diff(np.append(0, ends)[np.searchsorted(begin, offsets)])
 
     def whole(self, text: str) -> np.ndarray:
@@ -214,7 +229,7 @@ class ByteBpe:
 
     def batch(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text of a column, in order; null has none."""
-        for at, end, data, offsets in pieces(column, 2 << 20):
+        for at, end, data, offsets in pieces(column, 1 << 20):
             plain = np.full(end - at, self.by_pieces)
             plain[np.searchsorted(offsets, odd(data), "right") - 1] = False
             if plain.all():
@@ -264,8 +279,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id
     """Encode the whole texts of docs (null: empty) by the tokenizer file, end_id after each, and write them to path in ascending
     order of doc_id; null ids come first, rows of one id in order of their texts. Other columns are not read."""
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    d = d.repartitionByRange(partitions_for(d), "doc_id").sortWithinPartitions("doc_id", "text")
-    d.mapInArrow(_records(tokenizer, end_id), RECORD).write.option("compression", "none").parquet(path)
+    d = d.repartitionByRange(partitions_for(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    with small_batches(docs.sparkSession):
+        d.mapInArrow(_records(tokenizer, end_id), RECORD).write.option("compression", "none").parquet(path)
 
 
 def _read_back(with_ids: bool):

@@ -50,6 +50,17 @@ def test_batches_with_resets(vocabulary, plain):
         assert [g.tolist() for g in got] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_other_tokenizers_take_texts_whole():
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    own, t = tk.ByteBpe(path), Tokenizer.from_file(path)
+    assert not own.by_pieces
+    for text in ("Hello  World", "", "it's\n12"):
+        assert own(text).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_table():
     keys = np.random.default_rng(3).integers(0, 1 << 63, 5000, dtype=np.uint64) >> np.uint64(1)
     keys[:100] = np.arange(100)  # these share a slot
