@@ -38,7 +38,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     if n <= len(have):
         return have[:n]
     out = _more_powers(base, n)
-    if n <= 1 << 23:
+    if n <= 1 << 20:
         _known[base] = out
     return out
 
@@ -54,7 +54,7 @@ def _more_powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-def pieces(column: pa.Array, most: int = 4 << 20):
+def pieces(column: pa.Array, most: int = 1 << 20):
     """(first row, end row, bytes, offsets) of runs of rows with about most bytes of text together; null counts as empty. A longer
     text is a piece of its own."""
     column = pc.fill_null(column.cast(pa.large_binary()), b"")
