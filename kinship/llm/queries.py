@@ -62,9 +62,9 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .licenses import license_scan
+    from .licenses import TEMPLATES, TEXTS, license_scan
 
-    return license_scan(table(spark, sf_dir, "documents"))
+    return license_scan(table(spark, sf_dir, "documents"), inside=TEMPLATES + TEXTS)
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
