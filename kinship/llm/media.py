@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, small_batches
-from .webp import SIDE, decode, encode_plain
+from .webp import SIDE, SUBTRACT_GREEN, decode, encode
 
 #: Bytes of a row of pixels; payloads are padded to a multiple.
 UNIT, FILL = 576, 255
+#: Of the colour cache of an image.
+CACHE_BITS = 6
 
 
 def to_pixels(data: bytes) -> tuple[np.ndarray, int]:
@@ -49,7 +51,7 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while at < n and held < 8 << 20:
                 data = (b.column(1)[at].as_py() or "").encode()
                 pixels, payload = to_pixels(data)
-                media.append(encode_plain(pixels))
+                media.append(encode(pixels, [(SUBTRACT_GREEN,)], CACHE_BITS, references=True))
                 sizes.append(len(data))
                 payloads.append(payload)
                 held += payload

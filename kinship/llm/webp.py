@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import heapq
 import struct
 from collections import Counter
 from collections.abc import Sequence
@@ -55,20 +54,23 @@ class _Code:
         if self.only is not None:
             return
         self.bits = max(lengths)
-        self.table = [(0, 0)] * (1 << self.bits)
+        self.table = [0] * (1 << self.bits)  # symbol << 4 | length of its word, by the next bits
         if sum(1 << (self.bits - lengths[s]) for s in used) != 1 << self.bits:
             raise BadWebp("a prefix code is not complete")
         for s, word in words_of(lengths).items():
             n = lengths[s]
-            for i in range(word, 1 << self.bits, 1 << n):
-                self.table[i] = (s, n)
+            self.table[word :: 1 << n] = [s << 4 | n] * (1 << self.bits - n)
 
     def read(self, bits: _Bits) -> int:
         if self.only is not None:
             return self.only
-        s, n = self.table[bits.peek(self.bits)]
-        bits.at += n
-        return s
+        e = self.table[bits.peek(self.bits)]
+        bits.at += e & 15
+        return e >> 4
+
+    def packed(self) -> tuple[list[int], int]:
+        """The table, and a mask of the bits that it goes by."""
+        return ([self.only << 4], 0) if self.only is not None else (self.table, (1 << self.bits) - 1)
 
 
 def words_of(lengths: Sequence[int]) -> dict[int, int]:
@@ -163,37 +165,54 @@ def _read_pixels(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray
         return (grba[:, 3] << 24) | (grba[:, 1] << 16) | (grba[:, 0] << 8) | grba[:, 2]
     out: list[int] = []
     per_row = _blocks(width, tile) if tile else 0
-    green, red, blue, alpha, far = codes[0]
-    while len(out) < total:
+    tables = [[c.packed() for c in group] for group in codes]
+    (green, g_mask), (red, r_mask), (blue, b_mask), (alpha, a_mask), (far, f_mask) = tables[0]
+    data = np.frombuffer(bits.data + bytes(64), np.uint8).astype(np.uint32)
+    at32 = memoryview(data[:-3] | data[1:-2] << 8 | data[2:-1] << 16 | data[3:] << 24)  # 32 bits from each byte on
+    at, end, shift, kept, n_out = bits.at, 8 * len(bits.data), 32 - cache_bits, 0, 0
+    while n_out < total:
+        if at > end:
+            raise BadWebp("the image ends too early")
         if which is not None:
-            y, x = divmod(len(out), width)
-            green, red, blue, alpha, far = codes[which[(y >> tile) * per_row + (x >> tile)]]
-        s = green.read(bits)
+            y, x = divmod(n_out, width)
+            (green, g_mask), (red, r_mask), (blue, b_mask), (alpha, a_mask), (far, f_mask) = tables[which[(y >> tile) * per_row + (x >> tile)]]
+        e = green[at32[at >> 3] >> (at & 7) & g_mask]
+        at += e & 15
+        s = e >> 4
         if s < 256:
-            r = red.read(bits)
-            b = blue.read(bits)
-            out.append(alpha.read(bits) << 24 | r << 16 | s << 8 | b)
+            r = red[at32[at >> 3] >> (at & 7) & r_mask]
+            at += r & 15
+            b = blue[at32[at >> 3] >> (at & 7) & b_mask]
+            at += b & 15
+            a = alpha[at32[at >> 3] >> (at & 7) & a_mask]
+            at += a & 15
+            out.append(a >> 4 << 24 | r >> 4 << 16 | s << 8 | b >> 4)
+            n_out += 1
         elif s < 280:
+            bits.at = at
             n = _number(bits, s - 256)
-            d = _number(bits, far.read(bits))
+            e = far[at32[bits.at >> 3] >> (bits.at & 7) & f_mask]
+            bits.at += e & 15
+            d = _number(bits, e >> 4)
+            at = bits.at
             if d > 120:
                 d -= 120
             else:
                 x, y = NEAR[d - 1]
                 d = max(1, x + y * width)
-            if d > len(out) or len(out) + n > total:
+            if d > n_out or n_out + n > total:
                 raise BadWebp("a back-reference leaves the image")
-            for _ in range(n):
-                out.append(out[-d])
-                if cache:
-                    cache[(_CACHE_HASH * out[-1] & 0xFFFFFFFF) >> (32 - cache_bits)] = out[-1]
-            continue
+            out += out[n_out - d : n_out - d + n] if d >= n else (out[n_out - d :] * (n // d + 1))[:n]
+            n_out += n
         else:
+            for p in out[kept:]:  # the cache is brought up to date where it is read
+                cache[(_CACHE_HASH * p & 0xFFFFFFFF) >> shift] = p
+            kept = n_out
             out.append(cache[s - 280])
-        if cache:
-            cache[(_CACHE_HASH * out[-1] & 0xFFFFFFFF) >> (32 - cache_bits)] = out[-1]
-        if bits.at > 8 * len(bits.data):
-            raise BadWebp("the image ends too early")
+            n_out += 1
+    if at > end:
+        raise BadWebp("the image ends too early")
+    bits.at = at
     return np.array(out, np.uint32)
 
 
@@ -343,6 +362,21 @@ class _Out:
             self.value >>= 8 * k
             self.n &= 7
 
+    def extend(self, data: bytes, n: int) -> None:
+        """Write the n bits of data."""
+        k = self.n >> 3
+        self.done.append((self.value & ((1 << 8 * k) - 1)).to_bytes(k, "little"))
+        self.value >>= 8 * k
+        self.n &= 7
+        if self.n == 0 and n & 7 == 0:
+            self.done.append(data)
+            return
+        all_ = self.value | int.from_bytes(data, "little") << self.n
+        k = (self.n + n) >> 3
+        raw = all_.to_bytes(k + 1, "little")
+        self.done.append(raw[:k])
+        self.value, self.n = raw[k], (self.n + n) & 7
+
     def bytes(self) -> bytes:
         return b"".join(self.done) + self.value.to_bytes((self.n + 7) // 8, "little")
 
@@ -356,14 +390,24 @@ def _lengths(counts: dict[int, int], size: int, most: int) -> list[int]:
             out[s] = 1
         return out
     while True:
-        heap = [(c, s, (s,)) for s, c in counts.items()]
-        heapq.heapify(heap)
-        depth = dict.fromkeys(counts, 0)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                depth[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
+        leaves = sorted((c, s) for s, c in counts.items())
+        n = len(leaves)
+        weight, parent = [c for c, _ in leaves], [0] * (2 * n - 1)
+        leaf, inner = 0, n  # the lightest that are left of either kind, both in order of weight
+        for new in range(n, 2 * n - 1):
+            pair = 0
+            for _ in range(2):
+                if inner >= new or leaf < n and weight[leaf] <= weight[inner]:
+                    at, leaf = leaf, leaf + 1
+                else:
+                    at, inner = inner, inner + 1
+                pair += weight[at]
+                parent[at] = new
+            weight.append(pair)
+        deep = [0] * (2 * n - 1)
+        for at in range(2 * n - 3, -1, -1):
+            deep[at] = deep[parent[at]] + 1
+        depth = {s: deep[at] for at, (_, s) in enumerate(leaves)}
         if max(depth.values()) <= most:
             for s, n in depth.items():
                 out[s] = n
@@ -408,8 +452,9 @@ def _write_code(out: _Out, lengths: list[int]) -> None:
         out.write(of[s], 3)
     out.write(0, 1)
     words = words_of(of)
+    several = sum(x > 0 for x in of) > 1
     for s, extra, n in symbols:
-        if sum(x > 0 for x in of) > 1:
+        if several:
             out.write(words[s], of[s])
         out.write(extra, n)
 
@@ -424,7 +469,8 @@ def _prefix(value: int) -> tuple[int, int, int]:
 
 
 def _write_pixels(out: _Out, argb: np.ndarray, width: int, main: bool, cache_bits: int, references: bool, groups: tuple[int, np.ndarray] | None = None) -> None:
-    px = argb.tolist()
+    px = np.ascontiguousarray(argb).reshape(-1).astype(np.uint32)
+    total = len(px)
     out.write(cache_bits > 0, 1)
     if cache_bits:
         out.write(cache_bits, 4)
@@ -435,49 +481,89 @@ def _write_pixels(out: _Out, argb: np.ndarray, width: int, main: bool, cache_bit
             out.write(tile - 2, 3)
             _write_pixels(out, which.astype(np.uint32).reshape(-1) << 8, which.shape[1], False, 0, False)
     many = int(which.max()) + 1 if which is not None else 1
-    near = {x + y * width: i + 1 for i, (x, y) in reversed(list(enumerate(NEAR))) if x + y * width > 0}
-    cache = [0] * (1 << cache_bits)
-    ops: list[tuple[int, tuple, tuple]] = []  # group, symbols as (code, symbol), bits after each
-    none = ((0, 0),) * 4
-    seen: dict[tuple, int] = {}
-    i = 0
-    while i < len(px):
-        y, x = divmod(i, width)
-        g = int(which[y >> tile, x >> tile]) if which is not None else 0
-        n, d = 0, 0
-        if references and (j := seen.get(tuple(px[i : i + 3]))) is not None:
-            d = i - j
-            while n < 4096 and i + n < len(px) and px[j + n] == px[i + n]:
-                n += 1
-        p = px[i]
-        slot = (_CACHE_HASH * p & 0xFFFFFFFF) >> (32 - cache_bits) if cache_bits else 0
-        if n >= 3:
-            a, b = _prefix(n), _prefix(near.get(d, d + 120))
-            ops.append((g, ((0, 256 + a[0]), (4, b[0])), (a[1:], b[1:])))
-        elif cache_bits and cache[slot] == p:
-            ops.append((g, ((0, 280 + slot),), none))
-        else:
-            ops.append((g, ((0, (p >> 8) & 255), (1, (p >> 16) & 255), (2, p & 255), (3, p >> 24)), none))
-        for k in range(i, i + max(1, n if n >= 3 else 1)):
-            seen[tuple(px[k : k + 3])] = k
-            if cache_bits:
-                cache[(_CACHE_HASH * px[k] & 0xFFFFFFFF) >> (32 - cache_bits)] = px[k]
-            i = k + 1
-    counts = [[Counter() for _ in range(5)] for _ in range(many)]
-    for g, symbols, _ in ops:
-        for kind, s in symbols:
-            counts[g][kind][s] += 1
-    lengths = [[_lengths(c, n, 15) for c, n in zip(cs, (280 + len(cache) * (cache_bits > 0), 256, 256, 256, 40), strict=True)] for cs in counts]
-    for group in lengths:
-        for code in group:
-            _write_code(out, code)
-    words = [[words_of(code) for code in group] for group in lengths]
-    single = [[sum(x > 0 for x in code) < 2 for code in group] for group in lengths]
-    for g, symbols, extra in ops:
-        for (kind, s), (x, n) in zip(symbols, extra):
-            if not single[g][kind]:
-                out.write(words[g][kind][s], lengths[g][kind][s])
-            out.write(x, n)
+    starts, runs, back = _references(px) if references else ([], [], [])
+    inside = np.zeros(total + 1, np.int32)  # pixels that references cover, besides their first
+    np.add.at(inside, np.array(starts, np.int64) + 1, 1)
+    np.add.at(inside, np.array(starts, np.int64) + np.array(runs, np.int64), -1)
+    first = np.flatnonzero(np.cumsum(inside[:-1]) == 0)  # each token's first pixel
+    place = np.searchsorted(first, starts)
+    p = px[first].astype(np.int64)
+    sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
+    # Up to four symbols a token, with their code and the bits that follow; -1 is none.
+    symbol = np.stack([p >> 8 & 255, p >> 16 & 255, p & 255, p >> 24], 1)
+    extra, wide = np.zeros_like(symbol), np.zeros_like(symbol)
+    if cache_bits:
+        slot = (px.astype(np.uint64) * _CACHE_HASH & 0xFFFFFFFF) >> np.uint64(32 - cache_bits)
+        before = _before(slot)
+        hit = np.where(before >= 0, px[before], 0) == px
+        cached = hit[first]
+        symbol[cached, 0] = 280 + slot[first[cached]].astype(np.int64)
+        symbol[cached, 1:] = -1
+    kind = np.broadcast_to(np.arange(4), symbol.shape).copy()
+    if len(starts):
+        near = {x + y * width: i + 1 for i, (x, y) in reversed(list(enumerate(NEAR))) if x + y * width > 0}
+        a = np.array([_prefix(n) for n in runs])
+        b = np.array([_prefix(near.get(d, d + 120)) for d in back])
+        symbol[place] = np.stack([256 + a[:, 0], b[:, 0], np.full(len(a), -1), np.full(len(a), -1)], 1)
+        extra[place, :2], wide[place, :2] = np.stack([a[:, 1], b[:, 1]], 1), np.stack([a[:, 2], b[:, 2]], 1)
+        kind[place, 1] = 4
+    g = which[first // width >> tile, first % width >> tile].astype(np.int64) if which is not None else np.zeros(len(first), np.int64)
+    word, length = np.zeros_like(symbol), np.zeros_like(symbol)
+    for group in range(many):
+        mine = (g == group)[:, None] & (symbol >= 0)
+        for k, size in enumerate(sizes):
+            of = mine & (kind == k)
+            used = symbol[of]
+            lengths = _lengths({i: c for i, c in enumerate(np.bincount(used, minlength=size).tolist()) if c}, size, 15)
+            _write_code(out, lengths)
+            if sum(x > 0 for x in lengths) > 1:
+                table = np.zeros(size, np.int64)
+                words = words_of(lengths)
+                table[list(words)] = list(words.values())
+                word[of], length[of] = table[used], np.array(lengths)[used]
+    value, n = (np.stack(x, 2).reshape(-1) for x in ((word, extra), (length, wide)))
+    value, n = value[n > 0], n[n > 0]
+    for at in range(0, len(n), 1 << 18):
+        v, m = value[at : at + (1 << 18)], n[at : at + (1 << 18)]
+        bit = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        packed = np.packbits((np.repeat(v, m) >> bit & 1).astype(np.uint8), bitorder="little")
+        out.extend(packed.tobytes(), len(bit))
+
+
+def _before(keys: np.ndarray) -> np.ndarray:
+    """For each place the last one before it with the same key, -1 for none."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    out = np.full(len(keys), -1, np.int64)
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def _references(px: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """(first pixels, lengths, distances): from left to right, wherever the next three pixels came before, what follows the last such
+    place, as far as it agrees."""
+    starts: list[int] = []
+    runs: list[int] = []
+    back: list[int] = []
+    if len(px) < 4:
+        return starts, runs, back
+    a = px.astype(np.uint64)
+    before = _before((a[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (a[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (a[2:] * np.uint64(0x165667B19E3779F9)))
+    at = np.flatnonzero(before >= 0)
+    b = before[at]
+    at = at[(px[at] == px[b]) & (px[at + 1] == px[b + 1]) & (px[at + 2] == px[b + 2])]
+    p, total, free = px.tolist(), len(px), 0
+    for i, j in zip(at.tolist(), before[at].tolist()):
+        if i < free:
+            continue
+        n = 3
+        while n < 4096 and i + n < total and p[j + n] == p[i + n]:
+            n += 1
+        starts.append(i)
+        runs.append(n)
+        back.append(i - j)
+        free = i + n
+    return starts, runs, back
 
 
 def _wrapped(body: bytes) -> bytes:
