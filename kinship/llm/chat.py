@@ -19,6 +19,18 @@ ENVELOPE = "content string, tool_call_id string, tool_calls array<struct<id: str
 #: JSON types by the names that Spark gives a variant's.
 TYPES = {"integer": "BIGINT", "string": "STRING", "boolean": "BOOLEAN", "null": "VOID", "array": "ARRAY", "object": "OBJECT"}
 
+#: The tools that op5_chat checks arguments against; calls of others are unknown_tool.
+TOOLS = {
+    "search": {"properties": {"query": "string", "limit": "integer", "filters": "object"}, "required": ["query"]},
+    "open_page": {"properties": {"url": "string", "page": "integer"}, "required": ["url"]},
+    "calculate": {"properties": {"expression": "string", "precision": "integer"}, "required": ["expression"]},
+    "run_code": {"properties": {"code": "string", "language": "string", "timeout": "number"}, "required": ["code"]},
+    "read_file": {"properties": {"path": "string", "start": "integer", "end": "integer"}, "required": ["path"]},
+    "write_file": {"properties": {"path": "string", "content": "string", "append": "boolean"}, "required": ["path", "content"]},
+    "get_weather": {"properties": {"location": "string", "days": "integer"}, "required": ["location"]},
+    "send_message": {"properties": {"to": "array", "subject": "string", "body": "string"}, "required": ["to", "body"]},
+}
+
 
 def schemas(spark: SparkSession, tools: dict[str, dict]) -> DataFrame:
     """(name, args): tools as {name: {"properties": {argument: JSON type}, "required": [argument]}}."""

@@ -42,9 +42,9 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat import formatted
+    from .chat import TOOLS, formatted
 
-    return formatted(table(spark, sf_dir, "conversations"))
+    return formatted(table(spark, sf_dir, "conversations"), TOOLS)
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
