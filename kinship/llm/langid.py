@@ -143,18 +143,19 @@ def learned(x: list[dict], y: np.ndarray, k: int, epochs: int = 6, rate: float =
 def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", most: int = 600, reject_share: float = 0.001) -> Model:
     """Fit on the rows of labelled whose lang and text are not null.
 
-    most bounds the rows of each language that are looked at: the table is thinned to about that by a hash of the text, which
-    keeps all rows of a rare language. Only subword counts reach the driver, 2**BITS a row at most. A fifth of the sample
-    calibrates. reject_share: the share of right answers that the threshold may reject. With no labelled row the model has no
+    most bounds the distinct texts of each language that are looked at: they are thinned to about that by a hash of the text, which
+    keeps all texts of a rare language; copies count once. Only subword counts reach the driver, 2**BITS a text at most. A fifth of
+    the sample calibrates. reject_share: the share of right answers that the threshold may reject. With no labelled row the model has no
     languages, and predicts UNKNOWN."""
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    total = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    total = {r["lang"]: r["n"] for r in rows.select("lang", "hash").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(total)
     if not langs:
         return Model([], np.zeros((0, (1 << BITS) + 1), np.float32), np.zeros(0), 0.0)
     share = F.create_map(*(F.lit(v) for x in langs for v in (x, min(1.0, most / total[x]))))
-    die = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(die < share[F.col("lang")])
+    die = F.pmod(F.col("hash"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = rows.where(die < share[F.col("lang")]).groupBy("lang", "hash").agg(F.min("text").alias("text")).select("lang", "text")
     got = sample.mapInArrow(_counts, "lang string, ids array<int>, counts array<long>").toArrow()
     x = []
     for b in got.to_batches():
