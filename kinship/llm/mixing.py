@@ -78,13 +78,13 @@ def plan(docs: DataFrame, max_repeats: float | None = 2.0, min_entropy: float |
         w = weights.get(i, 0.0)
         r["weight"] = w
         r["target"] = round(w * size)
-        r["passes"] = min(r["target"] // r["tokens"], 1 << 20) if r["tokens"] else int(budget is None)
+        r["passes"] = r["target"] // r["tokens"] if r["tokens"] else int(budget is None)
         r["rest"] = r["target"] - r["passes"] * r["tokens"] if r["tokens"] else 0
     return rows
 
 
 def copies(docs: DataFrame, planned: list[dict], seed: int = 17, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """(row, n_tokens, copies): each row of docs as a struct, its tokens, and how often it comes in the mix. Rows that agree in id and
+    """(row, n_tokens, copies): each row of docs as a struct, its tokens, and how often it comes in the mix, a long. Rows that agree in id and
     text agree in copies, and are taken or left together."""
     spark = docs.sparkSession
     sources = spark.createDataFrame([(r["source"], r["passes"], r["rest"], max(1, r["n_docs"] // PER_BLOCK)) for r in planned], "source string, passes long, rest long, blocks long")
@@ -111,7 +111,7 @@ def copies(docs: DataFrame, planned: list[dict], seed: int = 17, doc_id: str = "
     last = stored(last.select(F.col("source").alias("s4"), F.col("key").alias("k4")).distinct(), "last")
     d = d.join(last, F.col("source").eqNullSafe(F.col("s4")) & (F.col("key") == F.col("k4")), "left")
     extra = F.when(F.coalesce(whole, F.lit(False)) & (F.col("rest") > 0), 1).when(F.col("k4").isNotNull(), 1).otherwise(0)
-    return d.select("row", "n_tokens", (F.coalesce("passes", F.lit(0)) + extra).cast("int").alias("copies"))
+    return d.select("row", "n_tokens", (F.coalesce("passes", F.lit(0)) + extra).cast("long").alias("copies"))
 
 
 def _stretch(at: Column) -> Column:
