@@ -28,7 +28,7 @@ def test_train_predict_merge(spark, tmp_path):
     # A country that training never saw is linked too.
     truth = tsv.read_ground_truth(spark, f"{root}/test_ground_truth.tsv")
     pred = sinks.read_id_lists(spark, f"{out}/matching_results", sinks.MATCHES).select("s1_id", F.explode("ids").alias("tgt_id"))
-    s1 = tsv.scan_source(spark, f"{root}/test_source1.tsv", "Zephyria")
+    s1 = tsv.scan_source(spark, f"{root}/test_source1.tsv", "Chile")
     own = tsv.truth_pairs(truth).join(s1.select(F.col("entity_id").alias("s1_id")), "s1_id", "left_semi")
     assert metric.macro_f_beta(pred.join(s1.select(F.col("entity_id").alias("s1_id")), "s1_id", "left_semi"), own, s1).first()[0] > 0.5
     # No target is claimed twice, and deciding again needs the stored scores alone.
