@@ -62,15 +62,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 2000):
-    """Arrow batches of so many rows at most, as rows hold whole texts; for jobs that run inside."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 4):
+    """Arrow batches of so many rows and megabytes at most, as rows hold whole texts; for jobs that run inside. A longer row is a batch
+    of its own."""
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": mb << 20}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, most in keys.items():
+        now = int(before[k].rstrip("b"))
+        spark.conf.set(k, str(min(most, now) if now > 0 else most))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -119,9 +123,12 @@ def row_key(*columns: str):
 
 
 def partitions_for(df: DataFrame, mb: int = 24) -> int:
-    """Partitions that hold about mb megabytes of df each by Catalyst's estimate, spark.sql.shuffle.partitions at least."""
+    """Partitions that hold about mb megabytes of df each by Catalyst's estimate, spark.sql.shuffle.partitions at least. Where it has
+    no estimate, as of data that is no table, rows are counted and sized."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(min(1 << 20, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (mb << 20) if size < 1 << 55 else 0)))
+    if size >= 1 << 62:
+        size = df.select(F.sum(sum(F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 8 for c in df.columns))).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // (mb << 20), (1 << 31) - 1))
 
 
 def released() -> None:
@@ -133,10 +140,12 @@ def released() -> None:
 
 
 def lean(run):
-    """A function of Arrow batches that releases memory at its end: workers stay, idle, beside those of the next stage."""
+    """A function of Arrow batches that releases memory at its end: workers stay, idle, beside those of the next stage. Arrow allocates
+    by the C library, whose memory can be given back."""
 
     @functools.wraps(run)
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from run(batches)
         finally:

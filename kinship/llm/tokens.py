@@ -22,6 +22,8 @@ from .common import lean, partitions_for, small_batches
 from .rangecoder import BLOCK, decode, encode
 from .textbytes import pieces, span_hashes
 
+#: Bytes of text that are cut at once; what that takes is some tens of times as much.
+PIECE = 1 << 18
 RECORD = "part int, before long, doc_id array<long>, n_tokens array<long>, blocks array<binary>"
 
 
@@ -133,7 +135,8 @@ class ByteBpe:
     The tokenizer first cuts a text by a fixed pattern and then merges bytes inside a piece, so a text's ids are those of its pieces
     in a row. Pieces repeat, so each distinct one, told by a 64-bit hash, is given to the library once; the ids of at most `most` of
     them are kept. Texts with characters outside printable ASCII, tab, newlines and Latin letters up to U+024F, of which two
-    libraries' Unicode tables might think differently, go to the library whole.
+    libraries' Unicode tables might think differently, go to the library whole, and so do texts that hold the name of an added token,
+    such as the end of a text: the library gives that token's id for it, also with add_special_tokens=False.
     """
 
     def __init__(self, path: str, most: int = 1_500_000):
@@ -141,10 +144,10 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's name in a text is text
         made = json.loads(self.tokenizer.to_str())
         cuts = made["pre_tokenizer"] or {}
-        self.by_pieces = made["normalizer"] is None and made["model"]["type"] == "BPE" and cuts.get("type") == "ByteLevel" and not cuts["add_prefix_space"] and cuts.get("use_regex", True) and all(t["special"] for t in made["added_tokens"])
+        self.by_pieces = made["normalizer"] is None and made["model"]["type"] == "BPE" and cuts.get("type") == "ByteLevel" and not cuts["add_prefix_space"] and cuts.get("use_regex", True)
+        self.added = [t["content"].encode() for t in made["added_tokens"] if t["content"]]
         if self.by_pieces:
             self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
             self.blank = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -224,14 +227,25 @@ class ByteBpe:
         ids = self.flat[np.repeat((self.start[n] - ends + size).astype(np.int32), size) + np.arange(ends[-1], dtype=np.int32)]
         return ids, np.diff(np.append(0, ends)[np.searchsorted(begin, offsets)])
 
+    def _named(self, data: np.ndarray) -> np.ndarray:
+        """Where names of added tokens begin, overlapping ones too."""
+        raw, out = data.tobytes(), []
+        for name in self.added:
+            at = raw.find(name)
+            while at >= 0:
+                out.append(at)
+                at = raw.find(name, at + 1)
+        return np.array(out, np.int64)
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
     def batch(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text of a column, in order; null has none."""
-        for at, end, data, offsets in pieces(column, 1 << 20):
+        for at, end, data, offsets in pieces(column, PIECE):
             plain = np.full(end - at, self.by_pieces)
             plain[np.searchsorted(offsets, odd(data), "right") - 1] = False
+            plain[np.searchsorted(offsets, self._named(data), "right") - 1] = False
             if plain.all():
                 ids, sizes = self.plain(data, offsets)
             else:
@@ -277,7 +291,8 @@ def _records(path: str, end_id: int):
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encode the whole texts of docs (null: empty) by the tokenizer file, end_id after each, and write them to path in ascending
-    order of doc_id; null ids come first, rows of one id in order of their texts. Other columns are not read."""
+    order of doc_id; null ids come first, rows of one id in order of their texts. Other columns are not read. Ids are those of the
+    library without further options: a text that spells a special token, as "<|endoftext|>", gets that token's id there."""
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     d = d.repartitionByRange(partitions_for(docs), "doc_id").sortWithinPartitions("doc_id", "text")
     with small_batches(docs.sparkSession):
