@@ -23,7 +23,7 @@ from .rangecoder import BLOCK, decode, encode
 from .textbytes import pieces, span_hashes
 
 #: Bytes of text that are cut at once; what that takes is some tens of times as much.
-PIECE = 1 << 18
+PIECE = 1 << 19
 RECORD = "part int, before long, doc_id array<long>, n_tokens array<long>, blocks array<binary>"
 
 

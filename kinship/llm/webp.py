@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import struct
 from collections import Counter
 from collections.abc import Sequence
@@ -16,8 +17,6 @@ LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15
 #: The 120 near places of a back-reference as (left, up), by distance, then by |left|, right ones last.
 NEAR = sorted(((x, y) for x in range(-7, 9) for y in range(8) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), -p[0]))
 _CACHE_HASH = 0x1E35A7BD
-_REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.uint8)
-_BLACK = 0xFF000000
 
 
 class BadWebp(ValueError):
@@ -42,35 +41,47 @@ class _Bits:
         return out
 
 
+@functools.cache
+def _reversed(bits: int) -> np.ndarray:
+    """Each number of so many bits with its bits in reverse."""
+    out = np.zeros(1, np.int64)
+    for _ in range(bits):
+        out = np.concatenate((out * 2, out * 2 + 1))
+    return out
+
+
 class _Code:
     """A prefix code, from the length of each symbol's word."""
 
     def __init__(self, lengths: Sequence[int]):
-        used = [s for s, n in enumerate(lengths) if n]
-        self.only = used[0] if len(used) == 1 else None
-        self.plain = used == list(range(256)) and all(lengths[s] == 8 for s in used)
-        if not used:
-            self.only = 0
+        n = np.array(lengths, np.int64)
+        used = np.flatnonzero(n)
+        self.only = int(used[0]) if len(used) == 1 else None if len(used) else 0
         if self.only is not None:
+            self.bits, self.table = 0, np.array([self.only << 4], np.int32)
             return
-        self.bits = max(lengths)
-        self.table = [0] * (1 << self.bits)  # symbol << 4 | length of its word, by the next bits
-        if sum(1 << (self.bits - lengths[s]) for s in used) != 1 << self.bits:
+        self.bits = int(n.max())
+        used = used[np.argsort(n[used], kind="stable")]
+        places = 1 << (self.bits - n[used])
+        if places.sum() != 1 << self.bits:
             raise BadWebp("a prefix code is not complete")
-        for s, word in words_of(lengths).items():
-            n = lengths[s]
-            self.table[word :: 1 << n] = [s << 4 | n] * (1 << self.bits - n)
+        # symbol << 4 | length of its word, by the next bits, of which the first is the lowest
+        self.table = np.repeat(used << 4 | n[used], places)[_reversed(self.bits)].astype(np.int32)
+
+    @functools.cached_property
+    def list(self) -> list[int]:
+        return self.table.tolist()
 
     def read(self, bits: _Bits) -> int:
         if self.only is not None:
             return self.only
-        e = self.table[bits.peek(self.bits)]
+        e = self.list[bits.peek(self.bits)]
         bits.at += e & 15
         return e >> 4
 
     def packed(self) -> tuple[list[int], int]:
         """The table, and a mask of the bits that it goes by."""
-        return ([self.only << 4], 0) if self.only is not None else (self.table, (1 << self.bits) - 1)
+        return self.list, (1 << self.bits) - 1
 
 
 def words_of(lengths: Sequence[int]) -> dict[int, int]:
@@ -87,38 +98,53 @@ def words_of(lengths: Sequence[int]) -> dict[int, int]:
 def _read_code(bits: _Bits, size: int) -> _Code:
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
-        lengths = [0] * max(size, 256)
-        lengths[bits.read(8 if wide else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
-        return _Code(lengths[:size])
+        first = bits.read(8 if wide else 1)
+        return _simple(size, first, bits.read(8) if two else first)
     of = [0] * 19
     for i in range(4 + bits.read(4)):
         of[LENGTH_ORDER[i]] = bits.read(3)
-    code = _Code(of)
+    code = _code(tuple(of))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
+    if code.only is not None and code.only < 16:  # words of no bits
+        return _code((code.only,) * min(left, size) + (0,) * (size - min(left, size)))
     lengths: list[int] = []
-    before = 8
+    before, (table, mask), data, at, have, window = 8, code.packed(), bits.data, bits.at, 0, 0
     while len(lengths) < size and left:
         left -= 1
-        s = code.read(bits)
-        if code.only is not None and s < 16:  # a word of no bits: all that are left
-            run = min(left + 1, size - len(lengths))
-            lengths += [s] * run
-            break
+        if have < 24:
+            window, have = int.from_bytes(data[at >> 3 : (at >> 3) + 16], "little") >> (at & 7), 120
+        e = table[window & mask]
+        n, s = e & 15, e >> 4
         if s < 16:
             lengths.append(s)
             before = s or before
         elif s == 16:
-            lengths += [before] * (3 + bits.read(2))
+            lengths += [before] * (3 + (window >> n & 3))
+            n += 2
+        elif s == 17:
+            lengths += [0] * (3 + (window >> n & 7))
+            n += 3
         else:
-            lengths += [0] * (3 + bits.read(3) if s == 17 else 11 + bits.read(7))
+            lengths += [0] * (11 + (window >> n & 127))
+            n += 7
+        window >>= n
+        at += n
+        have -= n
+    bits.at = at
+    if at > 8 * len(data):
+        raise BadWebp("the image ends too early")
     if len(lengths) > size:
         raise BadWebp("a prefix code has too many lengths")
     return _code(tuple(lengths) + (0,) * (size - len(lengths)))
 
 
-@functools.lru_cache(256)
+@functools.lru_cache(1024)
+def _simple(size: int, *symbols: int) -> _Code:
+    """The code of one symbol, or of two."""
+    return _Code([int(s in symbols) for s in range(max(size, 256))][:size])
+
+
+@functools.lru_cache(1024)
 def _code(lengths: tuple[int, ...]) -> _Code:
     """Files of one encoder share codes."""
     return _Code(lengths)
@@ -135,13 +161,9 @@ def _blocks(n: int, bits: int) -> int:
     return (n + (1 << bits) - 1) >> bits
 
 
-def _plain(group: list[_Code]) -> bool:
-    """All literals of the four channels have words of 8 bits, and nothing else has a word."""
-    return all(c.plain for c in group[:4])
-
-
-def _read_pixels(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
-    """An entropy-coded image as a flat array of 0xAARRGGBB."""
+def _read_head(bits: _Bits, width: int, height: int, main: bool) -> tuple[int, int, np.ndarray | None, list[list[_Code]]]:
+    """What stands before the pixels of an entropy-coded image: (bits of its colour cache, bits of a tile, the number of the group of
+    codes of each tile or None, the groups)."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise BadWebp("the colour cache is too large")
@@ -150,19 +172,19 @@ def _read_pixels(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray
         tile = bits.read(3) + 2
         which = (_read_pixels(bits, _blocks(width, tile), _blocks(height, tile), False) >> 8) & 0xFFFF
         groups = int(which.max()) + 1
-    cache = [0] * (1 << cache_bits) if cache_bits else []
-    codes = [[_read_code(bits, n) for n in (280 + len(cache), 256, 256, 256, 40)] for _ in range(groups)]
+    sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
+    return cache_bits, tile, which, [[_read_code(bits, n) for n in sizes] for _ in range(groups)]
+
+
+def _read_pixels(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
+    """An entropy-coded image as a flat array of 0xAARRGGBB."""
+    return _read_body(bits, width, height, *_read_head(bits, width, height, main))
+
+
+def _read_body(bits: _Bits, width: int, height: int, cache_bits: int, tile: int, which: np.ndarray | None, codes: list[list[_Code]]) -> np.ndarray:
+    """The pixels behind a head, one after the other."""
     total = width * height
-    if groups == 1 and _plain(codes[0]):  # every pixel has 32 bits: one step for all
-        first, shift = bits.at >> 3, bits.at & 7
-        raw = np.frombuffer(bits.data, np.uint8)[first : first + 4 * total + 1].astype(np.uint16)
-        if len(raw) < 4 * total + (shift > 0):
-            raise BadWebp("the image ends too early")
-        raw = np.append(raw, np.uint16(0))
-        raw = ((raw[:-1] >> shift) | (raw[1:] << (8 - shift))).astype(np.uint8)[: 4 * total]
-        bits.at += 32 * total
-        grba = _REVERSED[raw].reshape(total, 4).astype(np.uint32)
-        return (grba[:, 3] << 24) | (grba[:, 1] << 16) | (grba[:, 0] << 8) | grba[:, 2]
+    cache = [0] * (1 << cache_bits) if cache_bits else []
     out: list[int] = []
     per_row = _blocks(width, tile) if tile else 0
     tables = [[c.packed() for c in group] for group in codes]
@@ -295,6 +317,12 @@ def _bundle(colours: int) -> int:
 
 def decode(data: bytes) -> np.ndarray:
     """The pixels of a lossless WebP file."""
+    bits, width, height, transforms, w = _opened(data)
+    return _finished(_read_pixels(bits, w, height, True), w, transforms)
+
+
+def _opened(data: bytes) -> tuple[_Bits, int, int, list[tuple], int]:
+    """(bits from the main image on, width, height, transforms, the main image's width) of a file."""
     if len(data) < 25 or data[:4] != b"RIFF" or data[8:12] != b"WEBP":
         raise BadWebp("no WebP file")
     at, chunk = 12, None
@@ -328,7 +356,12 @@ def decode(data: bytes) -> np.ndarray:
             w = _blocks(w, _bundle(n))
         else:
             transforms.append((kind, w, 0, None))
-    image = _channels(_read_pixels(bits, w, height, True), w)
+    return bits, width, height, transforms, w
+
+
+def _finished(argb: np.ndarray, w: int, transforms: list[tuple]) -> np.ndarray:
+    """The pixels of a file from those of its main image, by its transforms undone from the last to the first."""
+    image = _channels(argb, w)
     for kind, w, tile, with_ in reversed(transforms):
         if kind == PREDICTOR:
             image = _predict(image, with_[:, :, 1] & 15, tile, False)
@@ -337,8 +370,7 @@ def decode(data: bytes) -> np.ndarray:
         elif kind == SUBTRACT_GREEN:
             image[:, :, [0, 2]] = (image[:, :, [0, 2]] + image[:, :, [1]]) & 255
         else:
-            each = 8 >> tile
-            x = np.arange(w)
+            each, x = 8 >> tile, np.arange(w)
             index = (image[:, x >> tile, 1] >> (each * (x & ((1 << tile) - 1)))) & ((1 << each) - 1)
             table = np.concatenate((with_, np.zeros((256, 4), np.int64)))  # an index past the palette is transparent black
             image = table[index]
@@ -427,13 +459,8 @@ def _write_code(out: _Out, lengths: list[int]) -> None:
             out.write(used[1], 8)
         return
     symbols: list[tuple[int, int, int]] = []
-    i = 0
-    while i < len(lengths):
-        n = lengths[i]
-        run = 1
-        while i + run < len(lengths) and lengths[i + run] == n:
-            run += 1
-        i += run
+    for n, same in itertools.groupby(lengths):
+        run = len(list(same))
         if n:
             symbols.append((n, 0, 0))
             run -= 1
@@ -452,11 +479,13 @@ def _write_code(out: _Out, lengths: list[int]) -> None:
         out.write(of[s], 3)
     out.write(0, 1)
     words = words_of(of)
-    several = sum(x > 0 for x in of) > 1
+    if sum(x > 0 for x in of) == 1:
+        of = [0] * 19
+    value = at = 0
     for s, extra, n in symbols:
-        if several:
-            out.write(words[s], of[s])
-        out.write(extra, n)
+        value |= (extra << of[s] | words[s] * (of[s] > 0)) << at
+        at += of[s] + n
+    out.write(value, at)
 
 
 def _prefix(value: int) -> tuple[int, int, int]:
@@ -621,37 +650,3 @@ def encode(pixels: np.ndarray, transforms=(), cache_bits: int = 0, references: b
     out.write(0, 1)
     _write_pixels(out, _packed(image), image.shape[1], True, cache_bits, references, groups)
     return _wrapped(out.bytes())
-
-
-@functools.cache
-def _plain_codes() -> tuple[int, int]:
-    """What stands between size and pixels: no transform, no colour cache, one group of codes, those of literals of 8 bits each. As
-    one number, and how many bits it has."""
-    out = _Out()
-    out.write(0, 3)
-    for _ in range(4):
-        out.write(0, 1)
-        out.write(8, 4)
-        for s in LENGTH_ORDER[:12]:
-            out.write(s == 8, 3)
-        out.write(1, 1)
-        out.write(3, 3)
-        out.write(254, 8)
-    out.write(1, 4)  # a distance code of one symbol
-    return out.value, out.n
-
-
-def encode_plain(pixels: np.ndarray) -> bytes:
-    """A lossless WebP file whose literals all have words of 8 bits: as large as the pixels, but written and read in one step."""
-    out = _begun(pixels.shape[1], pixels.shape[0])
-    out.write(*_plain_codes())
-    body = _REVERSED[np.ascontiguousarray(pixels.reshape(-1, 4)[:, [1, 0, 2, 3]]).reshape(-1)].astype(np.uint16)
-    shift = out.n & 7
-    head = out.bytes()
-    head, tail = (head[:-1], head[-1]) if shift else (head, 0)
-    spread = np.zeros(len(body) + 1, np.uint16)
-    spread[:-1] = body << shift
-    spread[1:] |= body >> (8 - shift)
-    spread[0] |= tail
-    data = (spread & 255).astype(np.uint8)
-    return _wrapped(head + (data if shift else data[:-1]).tobytes())

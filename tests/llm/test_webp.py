@@ -4,9 +4,11 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from kinship.llm import media, webp
+from kinship.llm import media, webp, webpbatch
 from kinship.llm.common import new_path
 
 
@@ -39,7 +41,6 @@ def test_every_tool(h, w, colours):
     ]
     for k in tools:
         assert (webp.decode(webp.encode(px, **k)) == px).all(), k
-    assert (webp.decode(webp.encode_plain(px)) == px).all()
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 16, 17, 256])
@@ -71,16 +72,44 @@ def test_broken_files(cut):
         webp.decode(data[:cut])
     with pytest.raises(webp.BadWebp):
         webp.decode(b"RIFF" + b"x" * 40)
-    with pytest.raises(webp.BadWebp):
-        webp.decode(webp.encode_plain(pixels(8, 8, 256))[:100])
 
 
-def test_payloads_higher_than_an_image():
-    data = bytes(range(256)) * ((media.SIDE * media.UNIT) // 256 + 50)
-    px, n = media.to_pixels(data)
-    assert px.shape[1] == 288 and px.shape[0] <= media.SIDE and n % media.UNIT == 0
-    assert px.reshape(-1)[: len(data)].tobytes() == data and (px.reshape(-1)[len(data) :] == 255).all()
-    assert (webp.decode(webp.encode_plain(px)) == px).all()
+def test_many_files_at_a_time():
+    files, want = [], []
+    for h, w in ((1, 1), (5, 3), (13, 17), (40, 9)):
+        for colours in (2, 9, 256):
+            px = pixels(h, w, colours, h)
+            rows, columns = (h + 3) // 4, (w + 3) // 4
+            modes = np.random.default_rng(1).integers(0, 16, (rows, columns))
+            elements = np.random.default_rng(2).integers(0, 256, (rows, columns, 3))
+            groups = (2, np.random.default_rng(3).integers(0, 3, (rows, columns)))
+            mixed = {"transforms": [(webp.PREDICTOR, 2, modes), (webp.CROSS_COLOUR, 2, elements), (webp.SUBTRACT_GREEN,)], "cache_bits": 2, "references": True}
+            for k in ({}, {"references": True}, {"cache_bits": 4}, {"cache_bits": 11, "references": True}, {"groups": groups}, mixed, mixed | {"groups": groups}):
+                files.append(webp.encode(px, **k))
+                want.append(px)
+    for got, px in zip(webpbatch.decode_many(files), want, strict=True):
+        assert (got == px).all()
+    assert webpbatch.decode_many([]) == []
+
+
+@given(st.lists(st.binary(min_size=1, max_size=200) | st.text("ab c\xe9", max_size=90).map(lambda t: (t * 9).encode() or b"."), min_size=1, max_size=6))
+@settings(max_examples=60, deadline=None)
+def test_rows_of_bytes(texts):
+    images = [t + b"\xff" * (-len(t) % 24) for t in texts]
+    files = webpbatch.encode_rows(images, 24)
+    for many, one, data in zip(webpbatch.decode_many(files), map(webp.decode, files), images, strict=True):
+        assert (many == one).all() and many[:, :, 1].tobytes() == data
+        assert not many[:, :, [0, 2]].any() and (many[:, :, 3] == 255).all()
+
+
+def test_long_runs_and_broken_files():
+    images = [b"z" * 9216, bytes(range(256)) * 36, b"abcd" * 2304, bytes(576)]
+    files = webpbatch.encode_rows(images, 576)
+    assert [p[:, :, 1].tobytes() for p in webpbatch.decode_many(files)] == images
+    assert len(files[0]) < 100 and len(files[2]) < 200
+    for cut in (3, 20, 40, len(files[1]) // 2):
+        with pytest.raises(webp.BadWebp):
+            webpbatch.decode_many([files[0], files[1][:cut]])
 
 
 def test_media_rows(spark):
