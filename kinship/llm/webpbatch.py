@@ -11,11 +11,12 @@ next four bytes came, and prefix codes of each image's own.
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
 
 from . import webp
-from .webp import NEAR, PALETTE, BadWebp, _begun, _finished, _lengths, _opened, _Out, _prefix, _read_body, _read_head, _wrapped, _write_code, words_of
+from .webp import LENGTH_ORDER, NEAR, PALETTE, BadWebp, _begun, _finished, _lengths, _opened, _Out, _prefix, _read_body, _read_head, _reversed, _wrapped, _write_code, words_of
 
 #: By prefix: extra bits of a length or distance, and its least value.
 _WIDE = np.array([max(0, (p - 2) >> 1) for p in range(40)], np.int64)
@@ -25,7 +26,7 @@ _HASH = np.uint64(0x1E35A7BD)
 #: Least and most bytes of a back-reference, and bits of a code's words.
 LEAST, MOST, DEEP = 4, 4096, 12
 #: Bytes up to which references are compared all at once.
-SURE = 20
+SURE = 16
 
 
 def decode_many(files: list[bytes]) -> list[np.ndarray]:
@@ -206,32 +207,85 @@ def _matches(data: np.ndarray, image: np.ndarray, ends: np.ndarray) -> tuple[np.
     before = np.full(n, -1)
     before[order[same + 1]] = order[same]
     at = np.flatnonzero((before >= 0) & (np.arange(n) + LEAST <= ends[image[:n]]))
-    # Lengths, up to SURE, of all candidates; a longer one is looked at again once it is taken.
-    from_, most = before[at], np.minimum(ends[image[at]] - at, SURE)
+    # Lengths, up to SURE, of all places where a reference can begin; a longer one is looked at again once it is taken.
+    from_, end = before[at], ends[image[at]]
     size, going = np.full(len(at), LEAST), np.arange(len(at))
+    i, j = at, from_
     for m in range(LEAST, SURE):
-        going = going[(m < most[going]) & (data[np.minimum(at[going] + m, len(data) - 1)] == data[from_[going] + m])]
+        on = data[np.minimum(i + m, len(data) - 1)] == data[j + m]
+        on &= i + m < end[going]
+        going, i, j = going[on], i[on], j[on]
         size[going] += 1
-    following = np.searchsorted(at, at + size)  # the next candidate behind each
-    raw, end = data.tobytes(), ends[image[at]]
-    taken, k = [], 0
-    longest = (size == SURE).tolist()
-    jump = following.tolist()
-    stop, take = len(jump), taken.append
+    reach = np.cumsum(np.bincount(at, minlength=len(data) + 1))  # the place in `at` of what begins behind a byte
+    jump, longest = reach[at + size - 1].tolist(), np.flatnonzero(size == SURE)
+    raw, taken, k, stop = data.tobytes(), [], 0, len(at)
+    for x in longest.tolist():
+        jump[x] = -1
+    take = taken.append
     while k < stop:
         take(k)
-        if longest[k]:
+        follow = jump[k]
+        if follow < 0:
             i, j, m = int(at[k]), int(from_[k]), SURE
-            limit = min(MOST, int(end[k]) - i)
-            while m + 64 <= limit and raw[j + m : j + m + 64] == raw[i + m : i + m + 64]:
+            most = min(MOST, int(end[k]) - i)
+            while m + 64 <= most and raw[j + m : j + m + 64] == raw[i + m : i + m + 64]:
                 m += 64
-            while m < limit and raw[j + m] == raw[i + m]:
+            while m < most and raw[j + m] == raw[i + m]:
                 m += 1
             size[k] = m
-            k = int(np.searchsorted(at, i + m))
-        else:
-            k = jump[k]
-    return at[taken], size[taken], at[taken] - from_[taken]
+            follow = int(reach[i + m - 1])
+        k = follow
+    return at[taken], size[taken], (at - from_)[taken]
+
+
+#: Lengths of the words of the code in which an image's code lengths are written: 0 to 12 have four bits, the others five.
+_OUTER = [4] * 13 + [5] * 6
+_OUTER_WORDS = words_of(_OUTER)
+
+
+def _write_lengths(out: _Out, lengths: list[int]) -> None:
+    """A code of three symbols or more, by its lengths."""
+    value = at = 0
+    for n, same in itertools.groupby(lengths):
+        run = len(list(same))
+        while run:
+            s, extra, more, k = n, 0, 0, 1
+            if n == 0 and run >= 11:
+                k = min(run, 138)
+                s, extra, more = 18, k - 11, 7
+            elif n == 0 and run >= 3:
+                s, extra, more, k = 17, run - 3, 3, run
+            value |= (extra << _OUTER[s] | _OUTER_WORDS[s]) << at
+            at += _OUTER[s] + more
+            run -= k
+    out.write(0, 1)
+    out.write(15, 4)
+    for s in LENGTH_ORDER:
+        out.write(_OUTER[s], 3)
+    out.write(0, 1)
+    out.write(value, at)
+
+
+def _lengths_of(counts: np.ndarray) -> np.ndarray:
+    """Lengths of the words of many codes, from the counts of their symbols."""
+    out = np.zeros(counts.shape, np.int64)
+    for own, c in zip(out, counts, strict=True):
+        used = np.flatnonzero(c)
+        if len(used):
+            own[:] = _lengths(dict(zip(used.tolist(), c[used].tolist(), strict=True)), len(c), DEEP)
+    return out
+
+
+def _canonical(lengths: np.ndarray) -> np.ndarray:
+    """The words, first bit lowest, of many codes (code, symbol), as webp.words_of gives them for one."""
+    out = np.zeros(lengths.shape, np.int64)
+    first = np.zeros(len(lengths), np.int64)
+    for n in range(1, DEEP + 1):
+        mine = lengths == n
+        word = first[:, None] + np.cumsum(mine, 1) - 1
+        out[mine] = _reversed(n)[word[mine]]
+        first = (first + mine.sum(1)) << 1
+    return out
 
 
 def encode_rows(images: list[bytes], width: int) -> list[bytes]:
@@ -267,23 +321,20 @@ def encode_rows(images: list[bytes], width: int) -> list[bytes]:
     counts = np.bincount(of * 280 + green, minlength=280 * len(rest)).reshape(-1, 280)
     far_counts = np.bincount(of[place] * 40 + far, minlength=40 * len(rest)).reshape(-1, 40)
     # Words of both codes, by image and symbol, and all that stands before the pixels.
-    word, deep = np.zeros((len(rest), 280), np.uint64), np.zeros((len(rest), 280), np.int64)
-    far_word, far_deep = np.zeros((len(rest), 40), np.uint64), np.zeros((len(rest), 40), np.int64)
+    deep, far_deep = (_lengths_of(c) for c in (counts, far_counts))
+    word, far_word = (_canonical(d).astype(np.uint64) for d in (deep, far_deep))
     heads = []
     for k, i in enumerate(rest.tolist()):
         head = _begun(width, len(images[i]) // width)
         head.write(*_palette(np.flatnonzero(has[i]).astype(np.uint8).tobytes()))
         head.write(0, 3)  # no more transforms, no colour cache, one group of codes
-        for c, w, n in ((counts[k], word[k], deep[k]), (far_counts[k], far_word[k], far_deep[k])):
-            used = np.flatnonzero(c).tolist()
-            bits = _lengths(dict(zip(used, c[used].tolist(), strict=True)), len(c), DEEP)
-            if len(c) == 40:
-                head.write(0b000100010001, 12)  # red, blue and alpha: one symbol, 0
-            _write_code(head, bits)
-            if len(used) > 1:
-                words = words_of(bits)
-                w[list(words)], n[list(words)] = list(words.values()), [bits[x] for x in words]
+        _write_lengths(head, deep[k].tolist())
+        head.write(0b000100010001, 12)  # red, blue and alpha: one symbol, 0
+        far_bits = far_deep[k].tolist()
+        (_write_code if 40 - far_bits.count(0) <= 2 else _write_lengths)(head, far_bits)
         heads.append(head)
+    single = far_deep.sum(1) == 1  # a word of no bits
+    far_deep[single] = 0
     value, n = word[of, green], deep[of, green]
     more, bits = np.zeros(len(place), np.uint64), np.zeros(len(place), np.int64)
     o = of[place]
