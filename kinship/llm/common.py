@@ -52,15 +52,28 @@ def scope(spark: SparkSession):
         _made.reset(token)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, rows: int = 100) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts the lineage, survives lost executors, and gives the
-    optimizer the size of the table, so that it broadcasts only what is under spark.sql.autoBroadcastJoinThreshold."""
+    optimizer the size of the table, so that it broadcasts only what is under spark.sql.autoBroadcastJoinThreshold. Shuffle files of
+    the write go with its end. rows: how many the writer takes before it looks at their size, few where rows are of megabytes."""
     path = new_path(df.sparkSession, name)
-    with small_batches(df.sparkSession):
-        df.write.parquet(path)
+    with small_batches(df.sparkSession), shuffles_removed(df.sparkSession):
+        df.write.option("parquet.block.size.row.check.min", rows).option("parquet.block.size.row.check.max", 100 * rows).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Have Spark remove the shuffle files of each execution inside at its end, not when the driver happens to collect garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 4):
     """Arrow batches of so many rows and megabytes at most, as rows hold whole texts; for jobs that run inside. A longer row is a batch
@@ -123,12 +136,16 @@ def row_key(*columns: str):
 
 
 def partitions_for(df: DataFrame, mb: int = 24) -> int:
-    """Partitions that hold about mb megabytes of df each by Catalyst's estimate, spark.sql.shuffle.partitions at least. Where it has
-    no estimate, as of data that is no table, rows are counted and sized."""
+    """Partitions that hold about mb megabytes of df each by Catalyst's estimate, spark.sql.shuffle.partitions at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(estimated_bytes(df) // (mb << 20), (1 << 31) - 1))
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of df's size, or a sum over its rows where it has none, as of data that is no table."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= 1 << 62:
         size = df.select(F.sum(sum(F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 8 for c in df.columns))).first()[0] or 0
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // (mb << 20), (1 << 31) - 1))
+    return size
 
 
 def released() -> None:
