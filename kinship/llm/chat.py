@@ -48,7 +48,7 @@ def _is(kind: Column, value: Column) -> Column:
 def _parsed(messages: DataFrame) -> DataFrame:
     m = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     body = F.when(F.col("text").rlike(r"^\s*\{"), F.from_json("text", ENVELOPE))
-    m = m.withColumn("body", body).withColumn("key", row_key("conv_id", "turn", "role", "text"))
+    m = m.withColumn("body", body).withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))).withColumn("key", row_key("conv_id", "turn", "role", "text"))
     calls = F.col("body.tool_calls").isNotNull()
     result = (F.col("role") == "tool") & F.col("body.tool_call_id").isNotNull()
     return m.withColumn("kind", F.when(F.coalesce(calls, F.lit(False)), "calls").when(F.coalesce(result, F.lit(False)), "result").otherwise("plain"))
@@ -61,17 +61,17 @@ def linked_calls(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
     Errors: duplicate_id (an earlier call of the conversation has the id), no_result, cycle (it refers, directly or not, to itself;
     level is null then, as for calls behind a cycle), unresolved:x (it refers to a call that is not there), unknown_tool, bad_arguments
     (no JSON object), missing:x, unexpected:x and type:x of an argument. A result belongs to the first call with its id in its
-    conversation; of several results the first counts. Calls without id have no result."""
+    conversation; of several results the first counts. Calls without id have no result. Rows without conv_id are one conversation."""
     spark = messages.sparkSession
     m = _parsed(messages)
-    c = m.where("kind = 'calls'").select("conv_id", "turn", "key", F.posexplode("body.tool_calls").alias("n", "c"))
-    c = c.select("conv_id", "turn", "n", "key", F.col("c.id").alias("id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("raw"))
+    c = m.where("kind = 'calls'").select("conv", "conv_id", "turn", "key", F.posexplode("body.tool_calls").alias("n", "c"))
+    c = c.select("conv", "conv_id", "turn", "n", "key", F.col("c.id").alias("id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("raw"))
     c = stored(c, "calls")
-    first = c.groupBy("conv_id", "id").agg(F.min(F.struct("turn", "n", "key")).alias("first"))
-    r = m.where("kind = 'result'").groupBy("conv_id", F.col("body.tool_call_id").alias("id"))
+    first = c.groupBy("conv", "id").agg(F.min(F.struct("turn", "n", "key")).alias("first"))
+    r = m.where("kind = 'result'").groupBy("conv", F.col("body.tool_call_id").alias("id"))
     r = r.agg(F.min(F.struct("turn", F.coalesce("body.content", F.lit("")).alias("content"))).alias("r"))
-    c = c.join(first, ["conv_id", "id"], "left").withColumn("own", F.coalesce(F.col("first") == F.struct("turn", "n", "key"), F.lit(False)))
-    c = c.hint("shuffle_hash").join(r.hint("shuffle_hash"), ["conv_id", "id"], "left")
+    c = c.join(first, ["conv", "id"], "left").withColumn("own", F.coalesce(F.col("first") == F.struct("turn", "n", "key"), F.lit(False)))
+    c = c.hint("shuffle_hash").join(r.hint("shuffle_hash"), ["conv", "id"], "left")
     c = c.withColumn("v", F.try_parse_json("raw")).withColumn("good", F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)))
     c = c.withColumn("args", F.when(F.col("good"), F.col("v").cast("map<string,variant>")))
     c = c.join(F.broadcast(schemas(spark, tools)).withColumnRenamed("args", "want"), "name", "left")  # as many rows as tools
@@ -87,7 +87,7 @@ def linked_calls(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
     one = lambda test, name: F.when(test, F.array(F.lit(name))).otherwise(F.array())
     checked = F.when(F.col("want").isNull(), F.array(F.lit("unknown_tool"))).when(~F.col("good"), F.array(F.lit("bad_arguments"))).otherwise(F.concat(missing, extra, kinds))
     errors = F.concat(one(~F.col("own") & F.col("id").isNotNull(), "duplicate_id"), one(F.col("r").isNull() | ~F.col("own"), "no_result"), checked)
-    c = c.select("conv_id", "turn", "n", "key", "id", "name", F.coalesce(F.to_json("v"), "raw").alias("arguments"), refers.alias("refers"), "own", F.when(F.col("own"), F.col("r.turn")).alias("result_turn"), F.when(F.col("own"), F.col("r.content")).alias("result"), errors.alias("errors"))
+    c = c.select("conv", "conv_id", "turn", "n", "key", "id", "name", F.coalesce(F.to_json("v"), "raw").alias("arguments"), refers.alias("refers"), "own", F.when(F.col("own"), F.col("r.turn")).alias("result_turn"), F.when(F.col("own"), F.col("r.content")).alias("result"), errors.alias("errors"))
     c = stored(c, "linked")
     levels = _levels(c)
     out = c.join(levels, ["key", "n"], "left").withColumn("level", F.when(F.size("refers") == 0, 0).otherwise(F.col("level")))
@@ -99,9 +99,9 @@ def linked_calls(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
 def _levels(c: DataFrame) -> DataFrame:
     """(key, n, level, unresolved) of the calls that refer to others, by rounds: a call has its level once all that it refers to have
     theirs. Rounds are as many as the longest chain; what no round reaches stays null."""
-    waits = c.where(F.size("refers") > 0).select("conv_id", "key", "n", F.explode("refers").alias("id"))
-    target = c.where("own").select("conv_id", "id", F.col("key").alias("tk"), F.col("n").alias("tn"), (F.size("refers") == 0).alias("free"))
-    waits = stored(waits.join(target, ["conv_id", "id"], "left"), "waits")
+    waits = c.where(F.size("refers") > 0).select("conv", "key", "n", F.explode("refers").alias("id"))
+    target = c.where("own").select("conv", "id", F.col("key").alias("tk"), F.col("n").alias("tn"), (F.size("refers") == 0).alias("free"))
+    waits = stored(waits.join(target, ["conv", "id"], "left"), "waits")
     open_ = waits.groupBy("key", "n").agg(F.array_sort(F.collect_set(F.when(F.col("tk").isNull(), F.col("id")))).alias("unresolved"))
     known = stored(open_.where(F.size("unresolved") > 0).select("key", "n", F.lit(0).alias("level")), "levels")  # they wait for none
     while True:

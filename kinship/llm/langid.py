@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import lean, released
 from .textbytes import LOWER, pieces
@@ -143,9 +144,9 @@ def learned(x: list[dict], y: np.ndarray, k: int, epochs: int = 6, rate: float =
 def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", most: int = 600, reject_share: float = 0.001) -> Model:
     """Fit on the rows of labelled whose lang and text are not null.
 
-    most bounds the distinct texts of each language that are looked at: they are thinned to about that by a hash of the text, which
-    keeps all texts of a rare language; copies count once. Only subword counts reach the driver, 2**BITS a text at most. A fifth of
-    the sample calibrates. reject_share: the share of right answers that the threshold may reject. With no labelled row the model has no
+    most bounds the distinct texts of each language that are looked at, those of the least hashes; copies count once, and all texts of
+    a rare language are kept. Texts are thinned by their hash first, so that no task orders many. Only subword counts reach the
+    driver, 2**BITS a text at most; languages are classes of the model, and so are listed there too. A fifth of the sample calibrates. reject_share: the share of right answers that the threshold may reject. With no labelled row the model has no
     languages, and predicts UNKNOWN."""
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     rows = rows.withColumn("hash", F.xxhash64("text"))
@@ -153,9 +154,12 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", most: int =
     langs = sorted(total)
     if not langs:
         return Model([], np.zeros((0, (1 << BITS) + 1), np.float32), np.zeros(0), 0.0)
-    share = F.create_map(*(F.lit(v) for x in langs for v in (x, min(1.0, most / total[x]))))
+    # So many that fewer than `most` of a language are left with a chance of less than 1e-9.
+    share = F.create_map(*(F.lit(v) for x in langs for v in (x, min(1.0, (most + 10 * most**0.5 + 50) / total[x]))))
     die = F.pmod(F.col("hash"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(die < share[F.col("lang")]).groupBy("lang", "hash").agg(F.min("text").alias("text")).select("lang", "text")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("die", "hash"))
+    sample = rows.withColumn("die", die).where(F.col("die") < share[F.col("lang")]).groupBy("lang", "hash", "die").agg(F.min("text").alias("text"))
+    sample = sample.withColumn("place", place).where(F.col("place") <= most).select("lang", "text")
     got = sample.mapInArrow(_counts, "lang string, ids array<int>, counts array<long>").toArrow()
     x = []
     for b in got.to_batches():

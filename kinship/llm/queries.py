@@ -43,8 +43,9 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import TOOLS, formatted
+    from .toolview import with_calls
 
-    return formatted(table(spark, sf_dir, "conversations"), TOOLS)
+    return formatted(with_calls(table(spark, sf_dir, "conversations")), TOOLS)
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """DuckDB SQL for those queries of this subpackage that SQL can express."""
 
+from . import toolview
+
 ORACLES = {}
 
 ORACLES["op1_decontaminate"] = r"""
@@ -29,12 +31,7 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(p.n_hit, 0)
 FROM dw d LEFT JOIN pos p USING (doc_id) LEFT JOIN items i USING (doc_id)
 """
 
-ORACLES["op5_chat"] = r"""
--- The table has no tool calls: a message with some would need more than this.
-SELECT conv_id, turn, role, 0 AS level, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_linked, CAST(0 AS BIGINT) AS n_errors,
-       CAST(CASE WHEN text IS NULL THEN json_object('role', role) ELSE json_object('content', text, 'role', role) END AS VARCHAR) AS message
-FROM conversations
-"""
+ORACLES["op5_chat"] = toolview.oracle()
 
 ORACLES["op7_warc"] = r"""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
@@ -72,7 +69,7 @@ parts AS (
   WHERE regexp_matches(s, '[\r\n]')),
 p AS (
   SELECT doc_id, part, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b
-  FROM (SELECT doc_id, part, regexp_extract_all(lower(s), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM parts) WHERE len(w) BETWEEN 2 AND 100),
+  FROM (SELECT doc_id, part, regexp_extract_all(lower(s), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM parts) WHERE len(w) >= 2),
 m AS (
   SELECT doc_id, part, license, max(2 * len(list_intersect(p.b, t.b)) / (len(p.b) + len(t.b))) AS dice
   FROM p JOIN t ON 5 * 2 * len(list_intersect(p.b, t.b)) >= 4 * (len(p.b) + len(t.b)) GROUP BY ALL),

@@ -174,5 +174,6 @@ def page_digests(spark, path: str) -> DataFrame:
     c = stored(c.select("record_id", page.alias("page_id"), "capture.record_type", "capture.payload_bytes", "capture.payload_digest", F.col("capture.refers_to").alias("to")), "captures")
     first = c.where("record_type = 'response'").select(F.col("record_id").alias("to"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("first_bytes"))
     first = first.join(c.select("to").distinct(), "to", "left_semi")
-    out = c.join(first, "to", "left")
+    # Responses refer to none: they don't meet in a join by null.
+    out = c.where("to is not null").join(first, "to", "left").unionByName(c.where("to is null").withColumns({"refers_to": F.lit(None).cast("long"), "first_bytes": F.lit(None).cast("long")}))
     return out.select("page_id", F.coalesce("payload_bytes", "first_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
