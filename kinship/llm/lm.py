@@ -40,7 +40,7 @@ from .textbytes import combined, pieces, word_hashes
 
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Bytes of text in a chunk, unless one text has more, and megabytes of the table that a bucket answers for.
-CHUNK, BUCKET_MB = 8 << 20, 16
+CHUNK, BUCKET_MB = 4 << 20, 6
 CHUNKS = "chunk long, doc_id array<long>, held_out array<boolean>, size array<long>, texts binary"
 ASKED = "bucket long, n int, chunk long, size long, keys binary, counts binary"
 _ASKED = [c.split()[0] for c in ASKED.split(", ")]
@@ -152,7 +152,7 @@ def _counted(h: np.ndarray, row: np.ndarray, trains: np.ndarray, order: int, ans
     before, shared = None, None
     for n, g in enumerate(_grams(h, row, order), 1):
         by_key, which, first = _groups(g)
-        number = np.empty(len(g), np.int64)
+        number = np.empty(len(g), np.int32)
         number[by_key] = which
         own = np.add.reduceat(trains[by_key].astype(np.int64), first) if len(g) else np.zeros(0, np.int64)
         at = by_key[first]  # a token at which each ends
@@ -350,8 +350,9 @@ def _scored(order: int, tokens: int, words: int, begins: int, strength: list[flo
         released()
         h, row, trains = _read(*(t.column(c)[0] for c in ("held_out", "size", "texts")))
         answers = _unpacked(right)
-        found = list(_counted(h, row, trains, order, {n: answers.get(n, np.zeros(0, np.int64)) for n in range(1, order + 1)}))
-        grams, counts = [g.number for g in found], [g.total for g in found]
+        found = [(g.number, g.total) for g in _counted(h, row, trains, order, {n: answers.get(n, np.zeros(0, np.int64)) for n in range(1, order + 1)})]
+        del h, trains, answers
+        grams, counts = [g for g, _ in found], [c for _, c in found]
         a, root = automaton(grams, counts, row, tokens, words, begins, strength)
         ids, held_out = t.column("doc_id")[0].values, t.column("held_out")[0].values
         score = walked(a, grams[0], row, len(ids))
