@@ -19,7 +19,7 @@ class LinkConfig:
     min_df: int = 2
     max_df: float = 0.5
     gram: int = 3
-    max_group: int = 100
+    max_group: int | None = 100
     min_key: int = 4
     use_numbers: bool = False
 

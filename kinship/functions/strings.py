@@ -1,82 +1,125 @@
-"""String similarities that Spark lacks, as Arrow UDFs over distinct pairs of strings."""
+"""String similarities that Spark lacks, as Arrow UDFs: each distinct pair of strings of a batch is compared once, and all of them side by
+side in numpy, a step for each character."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a bit for each character of a."""
-    if not a or not b:
-        return 0
-    places: dict[str, int] = {}
-    for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    s = full
-    for y in b:
-        u = s & places.get(y, 0)
-        s = (s + u | s - u) & full
-    return len(a) - s.bit_count()
-
-
-def indel_ratio(a: str, b: str) -> float:
+#: Pairs of about the same length that are compared at once.
+_AT_ONCE = 2048
+
+
+def _matrix(strings: list[str], width: int, names: np.ndarray, none: int) -> np.ndarray:
+    """A row of small numbers for each string, its characters' places among names; none behind its end."""
+    flat = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = np.full((len(strings), width), none, np.uint16 if len(names) > 250 else np.uint8)
+    size = np.array([len(s) for s in strings])
+    out[np.arange(width) < size[:, None]] = np.searchsorted(names, flat)
+    return out
+
+
+def _by_length(of: Callable, a: list[str], b: list[str]) -> np.ndarray:
+    """of(x, y, sizes of both) for all pairs, in runs of about the same length; x and y are matrices of characters in which nothing behind
+    an end is equal to anything."""
+    size = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    order = np.lexsort((size[:, 1], size[:, 0]))
+    out = np.zeros(len(a))
+    for lo in range(0, len(a), _AT_ONCE):
+        mine = order[lo : lo + _AT_ONCE]
+        x, y = [a[i] for i in mine], [b[i] for i in mine]
+        names = np.unique(np.frombuffer("".join(x + y).encode("utf-32-le", "surrogatepass"), np.uint32))
+        n = size[mine]
+        out[mine] = of(_matrix(x, -(-max(1, n[:, 0].max()) // 64) * 64, names, len(names)), _matrix(y, max(1, n[:, 1].max()), names, len(names) + 1), n)
+    return out
+
+
+def lcs(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of each pair: a bit for each character of the longer string, 64 a word, a step for each
+    of the shorter."""
+
+    def run(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+        words = x.shape[1] // 64
+        s = np.full((words, len(x)), np.iinfo(np.uint64).max, np.uint64)
+        for j in range(y.shape[1]):
+            same = np.packbits(x == y[:, j : j + 1], axis=1, bitorder="little").view(np.uint64)
+            carry = np.zeros(len(x), np.uint64)
+            for w in range(words):
+                m = same[:, w]
+                one = s[w] + (s[w] & m)
+                two = one + carry
+                carry = ((one < s[w]) | (two < one)).astype(np.uint64)
+                s[w] = two | (s[w] & ~m)
+        return x.shape[1] - np.bitwise_count(s).sum(0, dtype=np.int64)
+
+    long = [x if len(x) >= len(y) else y for x, y in zip(a, b, strict=True)]
+    short = [y if len(x) >= len(y) else x for x, y in zip(a, b, strict=True)]
+    return _by_length(run, long, short).astype(np.int64)
+
+
+def _ratio(common, size):
+    """2 common / size, 1 for two empty strings."""
+    return np.where(size > 0, 2 * common / np.maximum(size, 1), 1.0)
+
+
+def indel_ratio(a: list[str], b: list[str]) -> np.ndarray:
     """2 lcs / (length of both); 1 for two empty strings."""
-    n = len(a) + len(b)
-    return 2 * lcs(a, b) / n if n else 1.0
+    return _ratio(lcs(a, b), np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)]))
 
 
-def token_sort_ratio(a: str, b: str) -> float:
-    return indel_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+def token_sort_ratio(a: list[str], b: list[str]) -> np.ndarray:
+    return indel_ratio([" ".join(sorted(x.split())) for x in a], [" ".join(sorted(y.split())) for y in b])
 
 
-def token_set_ratio(a: str, b: str) -> float:
+def token_set_ratio(a: list[str], b: list[str]) -> np.ndarray:
     """The best indel ratio among the common tokens and each side's tokens, common ones first; 1 if one side's tokens are all common,
-    0 if a side has none."""
-    x, y = set(a.split()), set(b.split())
-    if not x or not y:
-        return 0.0
-    both = " ".join(sorted(x & y))
-    left, right = " ".join(sorted(x - y)), " ".join(sorted(y - x))
-    if both and (not left or not right):
-        return 1.0
-    if not both:
-        return indel_ratio(left, right)
-    one, two = f"{both} {left}", f"{both} {right}"
-    return max(indel_ratio(one, two), indel_ratio(both, one), indel_ratio(both, two))
-
-
-def jaro_winkler(a: str, b: str) -> float:
+    0 if a side has none. Common tokens stand first on both sides, so they are common characters whatever follows."""
+    sets = [(set(x.split()), set(y.split())) for x, y in zip(a, b, strict=True)]
+    text = lambda s: " ".join(sorted(s))
+    both, left, right = ([text(f(x, y)) for x, y in sets] for f in (lambda x, y: x & y, lambda x, y: x - y, lambda x, y: y - x))
+    head = np.array([len(c) + 1 if c else 0 for c in both])
+    one, two = (np.array([len(s) for s in side]) + head for side in (left, right))
+    best = _ratio(lcs(left, right) + head, one + two)
+    shared = np.maximum(head - 1, 0)
+    best = np.where(head > 0, np.maximum(best, np.maximum(_ratio(shared, shared + one), _ratio(shared, shared + two))), best)
+    all_ = (head > 0) & (np.array([not x or not y for x, y in zip(left, right, strict=True)]))
+    empty = np.array([not x or not y for x, y in sets])
+    return np.where(empty, 0.0, np.where(all_, 1.0, best))
+
+
+def jaro_winkler(a: list[str], b: list[str]) -> np.ndarray:
     """Jaro's similarity, raised by a tenth for each of up to four equal first characters where it is above 0.7."""
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(0, max(len(a), len(b)) // 2 - 1)
-    taken = [False] * len(b)
-    mine: list[str] = []
-    for i, x in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == x:
-                taken[j] = True
-                mine.append(x)
+
+    def run(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+        place = np.arange(y.shape[1], dtype=np.int32)
+        reach = np.maximum(0, n.max(1) // 2 - 1).astype(np.int32)[:, None]
+        free, mine = np.ones(y.shape, bool), np.zeros((len(x), int(max(1, n[:, 0].max()))), bool)
+        for i in range(mine.shape[1]):
+            lo, hi = max(0, i - int(reach.max())), i + int(reach.max()) + 1
+            fits = (y[:, lo:hi] == x[:, i : i + 1]) & free[:, lo:hi] & (abs(place[lo:hi] - i) <= reach)
+            if not fits.shape[1]:
                 break
-    m = len(mine)
-    if not m:
-        return 0.0
-    theirs = [y for y, t in zip(b, taken, strict=True) if t]
-    moved = sum(x != y for x, y in zip(mine, theirs, strict=True)) // 2
-    jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3
-    if jaro <= 0.7:
-        return jaro
-    same = 0
-    for x, y in zip(a[:4], b[:4], strict=False):
-        if x != y:
-            break
-        same += 1
-    return jaro + same * 0.1 * (1 - jaro)
+            at = fits.argmax(1)
+            has = np.flatnonzero(fits[np.arange(len(x)), at])
+            free[has, lo + at[has]] = False
+            mine[has, i] = True
+        m = mine.sum(1)
+        row = np.repeat(np.arange(len(x)), m)
+        moved = np.bincount(row, x[:, : mine.shape[1]][mine] != y[~free], len(x)) // 2
+        some = np.maximum(m, 1)
+        jaro = np.where(m > 0, (m / np.maximum(n[:, 0], 1) + m / np.maximum(n[:, 1], 1) + (m - moved) / some) / 3, 0.0)
+        k = min(4, x.shape[1], y.shape[1])
+        same = np.logical_and.accumulate(x[:, :k] == y[:, :k], 1).sum(1)
+        out = np.where(jaro > 0.7, jaro + same * 0.1 * (1 - jaro), jaro)
+        return np.where((n == 0).all(1), 1.0, out)
+
+    out = _by_length(run, a, b)
+    out[[i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x == y]] = 1.0
+    return out
 
 
 SCORES = {"token_set": token_set_ratio, "token_sort": token_sort_ratio, "ratio": indel_ratio, "jaro": jaro_winkler}
@@ -87,14 +130,11 @@ def similarities(a: Column, b: Column, names: tuple[str, ...] = tuple(SCORES)) -
     fs = [SCORES[n] for n in names]
 
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
-        known: dict[tuple[str, str], tuple[float, ...]] = {}
-        out = []
-        for p in zip((v or "" for v in x.to_pylist()), (v or "" for v in y.to_pylist()), strict=True):
-            if p not in known:
-                known[p] = tuple(f(*p) for f in fs)
-            out.append(known[p])
-        columns = zip(*out, strict=True) if out else [[]] * len(fs)
-        return pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in columns], list(names))
+        known: dict[tuple[str, str], int] = {}
+        pairs = zip((v or "" for v in x.to_pylist()), (v or "" for v in y.to_pylist()), strict=True)
+        which = np.array([known.setdefault(p, len(known)) for p in pairs], np.int64)
+        left, right = [p for p, _ in known], [p for _, p in known]
+        return pa.StructArray.from_arrays([pa.array((f(left, right) if known else np.zeros(0))[which], pa.float64()) for f in fs], list(names))
 
     run.__annotations__ = {"x": pa.Array, "y": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, ", ".join(f"{n} double" for n in names))(a, b)

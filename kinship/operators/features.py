@@ -38,7 +38,7 @@ def token_idf(targets: DataFrame, field: str) -> DataFrame:
     """(country, token, df, idf): ln(N / (1 + df)) + 1 over the distinct tokens of the target records of a country, N all of them."""
     tokens = targets.select("country", F.explode(F.array_distinct(F.filter(F.split(field, " "), lambda t: t != ""))).alias("token"))
     n = targets.groupBy("country").agg(F.count("*").alias("n"))
-    df = tokens.groupBy("country", "token").agg(F.count("*").alias("df")).join(F.broadcast(n), "country")  # a row a country
+    df = tokens.groupBy("country", "token").agg(F.count("*").alias("df")).join(n, "country")
     return df.select("country", "token", "df", (F.log(F.col("n") / (1 + F.col("df"))) + 1).alias("idf"))
 
 
@@ -54,18 +54,22 @@ def _total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x["idf"])
 
 
-def _overlap(p: str) -> dict[str, Column]:
-    s, t = F.col(f"s_{p}_idf"), F.col(f"t_{p}_idf")
-    both = F.array_intersect(s, t)
-    union = _total(F.array_union(s, t))
-    n = F.size(F.array_union(s, t))
-    mine = _total(s)
-    return {
-        f"{p}_jaccard": F.when(n > 0, F.size(both) / n).otherwise(0.0),
-        f"{p}_idf_jaccard": F.when(union > 0, _total(both) / union).otherwise(0.0),
-        f"{p}_idf_coverage": F.when(mine > 0, _total(both) / mine).otherwise(0.0),
-        f"{p}_max_shared_idf": F.coalesce(F.array_max(F.transform(both, lambda x: x["idf"])), F.lit(0.0)),
-    }
+def overlap(pairs: DataFrame, *fields: str) -> DataFrame:
+    """pairs with the token-overlap features of fields (name, addr), from arrays of distinct (token, idf) in s_*_idf and t_*_idf. The
+    common tokens are worked out once; what both sides have together follows from them."""
+    for p in fields:
+        s, t = F.col(f"s_{p}_idf"), F.col(f"t_{p}_idf")
+        pairs = pairs.withColumn("_both", F.array_intersect(s, t)).withColumns({"_shared": _total(F.col("_both")), "_mine": _total(s), "_n": F.size(s) + F.size(t) - F.size("_both")})
+        union = F.col("_mine") + _total(t) - F.col("_shared")
+        pairs = pairs.withColumns(
+            {
+                f"{p}_jaccard": F.when(F.col("_n") > 0, F.size("_both") / F.col("_n")).otherwise(0.0),
+                f"{p}_idf_jaccard": F.when(union > 0, F.col("_shared") / union).otherwise(0.0),
+                f"{p}_idf_coverage": F.when(F.col("_mine") > 0, F.col("_shared") / F.col("_mine")).otherwise(0.0),
+                f"{p}_max_shared_idf": F.coalesce(F.array_max(F.transform("_both", lambda x: x["idf"])), F.lit(0.0)),
+            }
+        ).drop("_both", "_shared", "_mine", "_n")
+    return pairs
 
 
 def _same(c: str) -> Column:
@@ -134,7 +138,7 @@ def pair_features(cands: DataFrame, s1: DataFrame, targets: DataFrame) -> DataFr
             df = idf_arrays(df, token_idf(targets, f"{f}_norm"), f"{f}_norm", f"{f}_idf")
         records.append(df)
     pairs = with_records(pairs, *records, [*RECORD, "name_idf", "addr_idf"])
-    pairs = pairs.withColumns(exact_flags() | structure() | _overlap("name") | _overlap("addr"))
+    pairs = overlap(pairs.withColumns(exact_flags() | structure()), "name", "addr")
     return string_scores(pairs).select("country", "s1_id", "tgt_id", *FEATURES)
 
 
@@ -145,4 +149,4 @@ def idf_overlap(pairs: DataFrame, s1: DataFrame, targets: DataFrame) -> DataFram
         for f in ("name", "addr"):
             df = idf_arrays(df, token_idf(targets, f"{f}_norm"), f"{f}_norm", f"{f}_idf")
         records.append(df)
-    return with_records(pairs, *records, ["name_idf", "addr_idf"]).withColumns(_overlap("name") | _overlap("addr"))
+    return overlap(with_records(pairs, *records, ["name_idf", "addr_idf"]), "name", "addr")

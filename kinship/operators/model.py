@@ -26,9 +26,15 @@ def group_split(entities: DataFrame, fraction: float = 0.25, seed: int = 42) ->
 
 
 def sample_entities(entities: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """n source records of each country for training, by hash; targets are never sampled."""
-    w = Window.partitionBy("country").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "entity_id").cast("binary")), "entity_id")
-    return entities.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).drop("place")
+    """n source records of each country for training, by hash; targets are never sampled. The place of each in its country is counted by
+    the hash's leading digits first, so that no task orders a country."""
+    key = F.md5(F.concat(F.lit(f"{seed}:"), "entity_id").cast("binary"))
+    e = entities.withColumn("_h", key).withColumn("_lead", F.substr("_h", F.lit(1), F.lit(3)))
+    per = e.groupBy("country", "_lead").agg(F.count("*").alias("_n"))  # 4,096 rows a country at most
+    before = Window.partitionBy("country").orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_base") < n)
+    place = F.row_number().over(Window.partitionBy("country", "_lead").orderBy("_h", "entity_id")) + F.col("_base")
+    return e.join(per, ["country", "_lead"]).withColumn("_place", place).where(F.col("_place") <= n).select(*entities.columns)
 
 
 def train(labelled: DataFrame, valid: DataFrame | None = None, features: list[str] = FEATURES, iterations: int = 60, step: float = 0.08, depth: int = 6, seed: int = 42) -> PipelineModel:

@@ -81,9 +81,10 @@ def validate(spark: SparkSession, matches: str, candidates: str | None, required
         if fatal:
             report.errors.append(fatal)
             continue
-        found = findings(lines, required, known).groupBy("rule").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("s1_id")).alias("ids"))
-        for r in found.select("rule", "n", F.slice("ids", 1, EXAMPLES).alias("ids")).orderBy("rule").collect():
-            report.errors.append(f"{path}: {r['rule']} in {r['n']} rows, as {', '.join(r['ids'])}")
+        found = findings(lines, required, known)
+        for r in found.groupBy("rule").agg(F.count("*").alias("n")).orderBy("rule").collect():  # a row a rule
+            ids = [x[0] for x in found.where(F.col("rule") == r["rule"]).select("s1_id").distinct().orderBy("s1_id").take(EXAMPLES)]
+            report.errors.append(f"{path}: {r['rule']} in {r['n']} rows, as {', '.join(ids)}")
         parts = F.split("value", "\t", 2)
         pairs.append(lines.where(F.col("value").contains("\t")).select(parts[0].alias("s1_id"), F.explode(F.split(F.get(parts, F.lit(1)), ",")).alias("tgt_id")).where("tgt_id <> ''"))
     if len(pairs) == 2:

@@ -20,9 +20,13 @@ def source_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("lang").alias("country"), F.concat(F.lit("S"), n.cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"), part(1, 6).alias("business_name"), part(7, 20).alias("business_address"))
 
 
+def all_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return record_columns(normalize(source_view(spark, sf_dir)))
+
+
 def records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(source 1, targets), normalised."""
-    r = record_columns(normalize(source_view(spark, sf_dir)))
+    r = all_records(spark, sf_dir)
     mine = F.col("entity_id").startswith("S1-")
     return r.where(mine), r.where(~mine)
 

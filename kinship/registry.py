@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +15,7 @@ from .operators import blocking, decide, diagnostics, features, metric, model, v
 from .oracles import ORACLES
 from .plans import view
 from .sources import sinks, tsv
+from .storage import stored
 
 CFG = LinkConfig()
 THRESHOLD, GATE = 0.5, 0.9
@@ -20,19 +25,43 @@ def _six(*names: str) -> list[Column]:
     return [(F.round(n, 6) + F.lit(0.0)).alias(n) for n in names]  # no negative zeros
 
 
+#: What the query that runs has stored so far, by name.
+_run: ContextVar[dict | None] = ContextVar("run", default=None)
+
+
+def _once(name: str, make: Callable):
+    made = _run.get()
+    if made is None:
+        return make()
+    if name not in made:
+        made[name] = make()
+    return made[name]
+
+
+def _records(spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """(source 1, targets), normalised and stored: most queries read them several times."""
+
+    def make():
+        r = stored(view.all_records(spark, d), "records")
+        mine = F.col("entity_id").startswith("S1-")
+        return r.where(mine), r.where(~mine)
+
+    return _once("records", make)
+
+
 def _union(spark, d: str) -> DataFrame:
-    return blocking.candidate_union(*view.records(spark, d), CFG)
+    return _once("union", lambda: stored(blocking.candidate_union(*_records(spark, d), CFG), "candidates"))
 
 
 def _exact(spark, d: str) -> DataFrame:
     """Pairs of equal name or address key."""
-    s1, t = view.records(spark, d)
+    s1, t = _records(spark, d)
     return blocking.exact_pairs(s1, t, "name_block", CFG).unionByName(blocking.exact_pairs(s1, t, "addr_block", CFG)).distinct()
 
 
 def _scored(spark, d: str) -> DataFrame:
     """(country, s1_id, tgt_id, p): pairs of equal key, p half the sum of both Jaccards to six places."""
-    s1, t = view.records(spark, d)
+    s1, t = _records(spark, d)
     pairs = features.with_records(_exact(spark, d), s1, t, ["name_norm", "addr_norm"])
     return pairs.select("country", "s1_id", "tgt_id", F.round((features.jaccard("name_norm") + features.jaccard("addr_norm")) / 2, 6).alias("p"))
 
@@ -42,7 +71,7 @@ def _selected(spark, d: str) -> DataFrame:
 
 
 def _with(spark, d: str, columns: list[str]) -> DataFrame:
-    return features.with_records(_exact(spark, d), *view.records(spark, d), columns)
+    return features.with_records(_exact(spark, d), *_records(spark, d), columns)
 
 
 def er_source_view(spark, d):
@@ -91,23 +120,23 @@ def record_lengths(spark, d):
 
 
 def exact_key_candidates_name(spark, d):
-    return blocking.exact_pairs(*view.records(spark, d), "name_block", CFG)
+    return blocking.exact_pairs(*_records(spark, d), "name_block", CFG)
 
 
 def exact_key_candidates_addr(spark, d):
-    return blocking.exact_pairs(*view.records(spark, d), "addr_block", CFG)
+    return blocking.exact_pairs(*_records(spark, d), "addr_block", CFG)
 
 
 def token_idf_name(spark, d):
-    return features.token_idf(view.records(spark, d)[1], "name_norm").select("country", "token", "df", *_six("idf"))
+    return features.token_idf(_records(spark, d)[1], "name_norm").select("country", "token", "df", *_six("idf"))
 
 
 def token_idf_addr(spark, d):
-    return features.token_idf(view.records(spark, d)[1], "addr_norm").select("country", "token", "df", *_six("idf"))
+    return features.token_idf(_records(spark, d)[1], "addr_norm").select("country", "token", "df", *_six("idf"))
 
 
 def trigram_df(spark, d):
-    t = view.records(spark, d)[1]
+    t = _records(spark, d)[1]
     return blocking.vocabulary(blocking.term_counts(t, blocking.char_grams(F.col("name_block"), 3)), t, CFG.min_df, CFG.max_df).select("country", "gram", "df", *_six("idf"))
 
 
@@ -116,19 +145,19 @@ def _pairs_cos(df):
 
 
 def tfidf_cosine_topk_name(spark, d):
-    return _pairs_cos(blocking.name_blocker(*view.records(spark, d), CFG))
+    return _pairs_cos(blocking.name_blocker(*_records(spark, d), CFG))
 
 
 def tfidf_cosine_topk_addr(spark, d):
-    return _pairs_cos(blocking.addr_blocker(*view.records(spark, d), CFG))
+    return _pairs_cos(blocking.addr_blocker(*_records(spark, d), CFG))
 
 
 def tfidf_cosine_topk_nums(spark, d):
-    return _pairs_cos(blocking.num_blocker(*view.records(spark, d), CFG))
+    return _pairs_cos(blocking.num_blocker(*_records(spark, d), CFG))
 
 
 def reverse_topk(spark, d):
-    s1, t = view.records(spark, d)
+    s1, t = _records(spark, d)
     r = blocking.name_blocker(t, s1, CFG)
     return r.select("country", F.col("s1_id").alias("target_id"), F.col("tgt_id").alias("source_id"), *_six("cos"))
 
@@ -138,7 +167,7 @@ def candidate_union(spark, d):
 
 
 def blocking_stats(spark, d):
-    return blocking.blocking_stats(_union(spark, d), *view.records(spark, d)).select("country", "n_s1", "n_targets", "n_cands", "empty_rows", *_six("mean_per_entity", "reduction_ratio"))
+    return blocking.blocking_stats(_union(spark, d), *_records(spark, d)).select("country", "n_s1", "n_targets", "n_cands", "empty_rows", *_six("mean_per_entity", "reduction_ratio"))
 
 
 def recall_ceiling(spark, d):
@@ -150,7 +179,7 @@ def blocker_attribution(spark, d):
 
 
 def candidate_percentiles(spark, d):
-    return blocking.candidate_percentiles(_union(spark, d), view.records(spark, d)[0]).select("country", *_six("p50", "p95", "p99"), "most")
+    return blocking.candidate_percentiles(_union(spark, d), _records(spark, d)[0]).select("country", *_six("p50", "p95", "p99"), "most")
 
 
 def prune_stage(spark, d):
@@ -175,7 +204,7 @@ def pair_structural(spark, d):
 
 def pair_idf_overlap(spark, d):
     names = [f"{p}_{k}" for p in ("name", "addr") for k in ("jaccard", "idf_jaccard", "idf_coverage", "max_shared_idf")]
-    return features.idf_overlap(_exact(spark, d), *view.records(spark, d)).select("s1_id", "tgt_id", *_six(*names))
+    return features.idf_overlap(_exact(spark, d), *_records(spark, d)).select("s1_id", "tgt_id", *_six(*names))
 
 
 def pair_jaro_winkler(spark, d):
@@ -189,7 +218,7 @@ def pair_string_scores(spark, d):
 
 
 def pair_features(spark, d):
-    s1, t = view.records(spark, d)
+    s1, t = _records(spark, d)
     return features.pair_features(_union(spark, d), s1, t).select("country", "s1_id", "tgt_id", *_six(*features.FEATURES))
 
 
@@ -215,23 +244,23 @@ def singleton_gate(spark, d):
 
 
 def threshold_sweep(spark, d):
-    return decide.sweep(_scored(spark, d), view.truth(spark, d), view.records(spark, d)[0]).select("threshold", *_six("macro_f05"))
+    return decide.sweep(_scored(spark, d), view.truth(spark, d), _records(spark, d)[0]).select("threshold", *_six("macro_f05"))
 
 
 def best_threshold(spark, d):
-    return decide.best_threshold(decide.sweep(_scored(spark, d), view.truth(spark, d), view.records(spark, d)[0])).select("threshold", *_six("macro_f05"))
+    return decide.best_threshold(decide.sweep(_scored(spark, d), view.truth(spark, d), _records(spark, d)[0])).select("threshold", *_six("macro_f05"))
 
 
 def threshold_report(spark, d):
-    return decide.threshold_report(_scored(spark, d), view.records(spark, d)[0]).select("threshold", *_six("empty_share", "mean_size"), "total")
+    return decide.threshold_report(_scored(spark, d), _records(spark, d)[0]).select("threshold", *_six("empty_share", "mean_size"), "total")
 
 
 def set_sizes(spark, d):
-    return decide.set_sizes(_selected(spark, d), view.records(spark, d)[0]).select("entities", "empty", "total", *_six("mean_size"))
+    return decide.set_sizes(_selected(spark, d), _records(spark, d)[0]).select("entities", "empty", "total", *_six("mean_size"))
 
 
 def _judged(f):
-    return lambda spark, d: f(_selected(spark, d), view.truth(spark, d), view.records(spark, d)[0])
+    return lambda spark, d: f(_selected(spark, d), view.truth(spark, d), _records(spark, d)[0])
 
 
 def entity_f05(spark, d):
@@ -255,18 +284,18 @@ def _lines(pairs, s1):
 
 
 def matching_results_lists(spark, d):
-    return _lines(_selected(spark, d), view.records(spark, d)[0])
+    return _lines(_selected(spark, d), _records(spark, d)[0])
 
 
 def candidate_lists(spark, d):
-    return _lines(_exact(spark, d), view.records(spark, d)[0])
+    return _lines(_exact(spark, d), _records(spark, d)[0])
 
 
 def _dirty(spark, d):
     """Id lists with what writers must clean: for each source-1 document a list made of its neighbours' numbers."""
     i = F.regexp_extract("entity_id", r"(\d+)$", 1).cast("long")
     ids = F.array(F.concat(F.lit("S3-"), (i + 1).cast("string")), F.concat(F.lit(" S2-"), i.cast("string"), F.lit(" ")), F.concat(F.lit("S2-"), (i - i % 2).cast("string")), F.when(i % 3 == 0, F.concat(F.lit("S1-"), i.cast("string"))).otherwise(""), F.when(i % 5 == 0, F.lit("X-1")).otherwise("S3-1"))
-    return view.records(spark, d)[0].select(F.col("entity_id").alias("s1_id"), ids.alias("ids"))
+    return _records(spark, d)[0].select(F.col("entity_id").alias("s1_id"), ids.alias("ids"))
 
 
 def clean_id_list(spark, d):
@@ -274,30 +303,30 @@ def clean_id_list(spark, d):
 
 
 def validator_findings(spark, d):
-    s1, t = view.records(spark, d)
+    s1, t = _records(spark, d)
     i = F.regexp_extract("s1_id", r"(\d+)$", 1).cast("long")
     lines = _dirty(spark, d).where(i % 7 != 0).select(F.when(i % 11 == 0, F.col("s1_id")).otherwise(F.concat_ws("\t", "s1_id", F.array_join("ids", ","))).alias("value"))
     return validate.findings(lines, s1, t)
 
 
 def subset_violations(spark, d):
-    s1, t = view.records(spark, d)
+    s1, t = _records(spark, d)
     return sinks.subset_violations(_exact(spark, d), blocking.exact_pairs(s1, t, "addr_block", CFG))
 
 
 def merge_coverage(spark, d):
-    lists = sinks.id_lists(_exact(spark, d), view.records(spark, d)[0])
+    lists = sinks.id_lists(_exact(spark, d), _records(spark, d)[0])
     i = F.regexp_extract("s1_id", r"(\d+)$", 1).cast("long")
     parts = lists.where(i % 4 != 0).unionByName(lists.where(i % 6 == 1)).unionByName(lists.where(i % 9 == 0).withColumn("s1_id", F.concat("s1_id", F.lit("x"))))
-    return sinks.coverage(parts, view.records(spark, d)[0])
+    return sinks.coverage(parts, _records(spark, d)[0])
 
 
 def entity_group_split(spark, d):
-    return model.group_split(view.records(spark, d)[0], 0.25, 42)
+    return model.group_split(_records(spark, d)[0], 0.25, 42)
 
 
 def _train_pairs(spark, d):
-    s1, t = view.records(spark, d)
+    s1, t = _records(spark, d)
     cands = blocking.labelled(_union(spark, d), view.truth(spark, d))
     w = features.with_records(features.competition(cands), s1, t, features.RECORD)
     return w.withColumns(features.exact_flags() | features.structure() | {"name_jaccard": features.jaccard("name_norm"), "addr_jaccard": features.jaccard("addr_norm")})
@@ -308,7 +337,7 @@ _COLUMNS = ["name_cos", "addr_cos", "name_jaccard", "addr_jaccard", "name_len_ra
 
 def gbt_scores(spark, d):
     data = _train_pairs(spark, d).select("s1_id", "tgt_id", "label", *_COLUMNS)
-    fitted = model.train(data, model.group_split(view.records(spark, d)[0]), _COLUMNS, iterations=8, depth=4)
+    fitted = model.train(data, model.group_split(_records(spark, d)[0]), _COLUMNS, iterations=8, depth=4)
     return model.predict(fitted, data).select("s1_id", "tgt_id", "label", *_six("p"))
 
 
@@ -336,7 +365,7 @@ def mined_rewrites(spark, d):
 
 
 def reject_by_quintile(spark, d):
-    s1, t = view.records(spark, d)
+    s1, t = _records(spark, d)
     p = features.with_records(_scored(spark, d), s1, t, ["name_len"]).withColumn("x", F.col("t_name_len").cast("double"))
     return diagnostics.reject_rate_by_quantile(p, "x", THRESHOLD).select("part", "n", *_six("reject_rate"))
 
@@ -351,8 +380,22 @@ QUERIES = [
 ]
 
 
+def _alone(f: Callable) -> Callable:
+    """f with tables of its own, each stored once."""
+
+    @functools.wraps(f)
+    def run(spark, d):
+        token = _run.set({})
+        try:
+            return f(spark, d)
+        finally:
+            _run.reset(token)
+
+    return run
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: _alone(f) for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

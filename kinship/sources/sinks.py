@@ -57,13 +57,43 @@ def write_id_lists(lists: DataFrame, path: str, columns: list[str], required: Da
     if strict and wrong:
         raise SubmissionError(f"{path}: {wrong}")
     lines = clean.select(F.concat_ws("\t", "s1_id", F.array_join("ids", ",")).alias("value"))
-    first = lists.sparkSession.createDataFrame([("\t".join(columns),)], "value string")
-    # The header is a file of its own whose name sorts first.
-    first.coalesce(1).write.mode("overwrite").text(path)
-    lines.write.mode("append").text(path)
+    lines.write.mode("overwrite").text(path)
+    _write_header(lists.sparkSession, path, "\t".join(columns))
     return stats
 
 
+#: Sorts before the part files of a folder.
+HEADER = "part-00000-0-header.txt"
+
+
+def _write_header(spark: SparkSession, path: str, line: str) -> None:
+    """The header as a file of its own, whose name sorts before all parts, by the file system that the path names."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/{HEADER}")
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray((line + "\n").encode()))
+    finally:
+        out.close()
+
+
+def export_file(spark: SparkSession, path: str, to: str) -> None:
+    """The folder of a result as one file, header first: its parts one behind the other, streamed by the driver, in order of name."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder, target = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(to)
+    fs = folder.getFileSystem(conf)
+    out = target.getFileSystem(conf).create(target, True)
+    try:
+        for part in sorted(str(f.getPath().toString()) for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")):
+            source = fs.open(jvm.org.apache.hadoop.fs.Path(part))
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+            finally:
+                source.close()
+    finally:
+        out.close()
+
+
 def write_matches(pairs: DataFrame, entities: DataFrame, path: str, strict: bool = True) -> dict[str, int]:
     return write_id_lists(id_lists(pairs, entities), path, MATCHES, entities, strict)
 

@@ -40,15 +40,25 @@ def read_tsv(spark: SparkSession, path: str, columns: list[str], check: bool = T
         wrong = lines.where(F.size(F.split("value", "\t", -1)) != len(columns)).take(5)
         if wrong:
             raise FieldCountError(f"{path}: not {len(columns)} fields in {[r[0][:80] for r in wrong]}")
+    return _filled(_raw(spark, path, columns), columns)
+
+
+def _raw(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    df = spark.read.csv(path, sep="\t", header=True, quote="", escape="", schema=schema, enforceSchema=True)
+    return spark.read.csv(path, sep="\t", header=True, quote="", escape="", schema=schema, enforceSchema=True)
+
+
+def _filled(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*(F.coalesce(c, F.lit("")).alias(c) for c in columns))
 
 
 def scan_source(spark: SparkSession, path: str, country: str | None = None, check: bool = False) -> DataFrame:
-    """The records of a source, of one country if given; the filter reaches the scan."""
+    """The records of a source, of one country if given; the filter is on the column as it is stored, so that it reaches the scan."""
     df = read_tsv(spark, path, SOURCE_COLUMNS, check)
-    return df if country is None else df.where(F.col("country") == country)
+    if country is None:
+        return df
+    raw = _raw(spark, path, SOURCE_COLUMNS)
+    return _filled(raw.where(F.col("country") == country if country else F.col("country").isNull() | (F.col("country") == "")), SOURCE_COLUMNS)
 
 
 def read_source(spark: SparkSession, path: str, country: str | None = None, columns: list[str] | None = None) -> DataFrame:

@@ -98,3 +98,38 @@ def test_validator(spark, tmp_path):
     c.write_text("source1_entity_id\tcandidate_entity_ids\nS1-1\t\nS1-2\t\nS1-3\t\n")
     report = validate(spark, str(p), str(c), entities)
     assert report.ok and "1 entities" in report.warnings[0]
+
+
+def test_country_filter_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "s.tsv")
+    with open(path, "w") as f:
+        f.write("entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-1\ta\t\tUS\nS1-2\tb\tx\t\nS1-3\tc\ty\tIndia\n")
+    df = tsv.scan_source(spark, path, "US")
+    assert "EqualTo(country,US)" in df._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in df.collect()] == [("S1-1", "a", "", "US")]
+    assert [r["entity_id"] for r in tsv.scan_source(spark, path, "").collect()] == ["S1-2"]
+
+
+def test_header_comes_first_and_one_file(spark, tmp_path):
+    import os
+
+    e = spark.createDataFrame([(f"S1-{i}",) for i in range(50)], "entity_id string").repartition(7)
+    pairs = spark.createDataFrame([("S1-3", "S2-1")], "s1_id string, tgt_id string")
+    out, one = str(tmp_path / "out"), str(tmp_path / "one.tsv")
+    sinks.write_matches(pairs, e, out)
+    assert sorted(x for x in os.listdir(out) if x.startswith("part-"))[0] == sinks.HEADER
+    sinks.export_file(spark, out, one)
+    lines = open(one).read().splitlines()
+    assert lines[0] == "source1_entity_id\tmatched_entity_ids" and len(lines) == 51 and "S1-3\tS2-1" in lines
+    assert {r["s1_id"] for r in sinks.read_id_lists(spark, out, sinks.MATCHES).collect()} == {f"S1-{i}" for i in range(50)}
+
+
+def test_sample_counts_exactly(spark):
+    from kinship.operators import model
+
+    e = spark.range(3000).selectExpr("concat('S1-', id) entity_id", "if(id % 3 = 0, 'US', 'India') country")
+    got = {r["country"]: r["n"] for r in model.sample_entities(e, 700).groupBy("country").agg(F.count("*").alias("n")).collect()}
+    assert got == {"US": 700, "India": 700}
+    assert model.sample_entities(e, 1500).where("country = 'US'").count() == 1000
+    first = {r[0] for r in model.sample_entities(e, 10).select("entity_id").collect()}
+    assert first <= {r[0] for r in model.sample_entities(e, 700).select("entity_id").collect()}

@@ -1,4 +1,5 @@
 import pytest
+import slow_strings as slow
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -15,23 +16,37 @@ def slow_lcs(a, b):
     return row[-1]
 
 
-@given(st.text("abcd", max_size=20), st.text("abcd", max_size=20))
-@settings(max_examples=200, deadline=None)
-def test_lcs(a, b):
-    assert s.lcs(a, b) == slow_lcs(a, b)
+word = st.text("abcd é日🙂", max_size=20) | st.text("ab ", max_size=200)
+
+
+@given(st.lists(st.tuples(word, word), min_size=1, max_size=12))
+@settings(max_examples=150, deadline=None)
+def test_many_against_one_by_one(pairs):
+    a, b = map(list, zip(*pairs, strict=True))
+    assert s.lcs(a, b).tolist() == [slow_lcs(x, y) for x, y in pairs]
+    for name, one in slow.SCORES.items():
+        assert s.SCORES[name](a, b).tolist() == pytest.approx([one(x, y) for x, y in pairs], abs=1e-12), name
 
 
 def test_ratios():
-    assert s.indel_ratio("martha", "marhta") == pytest.approx(0.8333333)
-    assert s.indel_ratio("", "") == 1.0
-    assert s.indel_ratio("a", "") == 0.0
-    assert s.token_sort_ratio("b a", "a b") == 1.0
-    assert s.token_set_ratio("a b c", "a b") == 1.0
-    assert s.token_set_ratio("", "a") == 0.0
-    assert s.token_set_ratio("abc", "abd") == pytest.approx(2 / 3)
-    assert s.jaro_winkler("martha", "marhta") == pytest.approx(0.9611111)
-    assert s.jaro_winkler("", "") == 1.0
-    assert s.jaro_winkler("abc", "xyz") == 0.0
+    one = lambda f, a, b: f([a], [b])[0]
+    assert one(s.indel_ratio, "martha", "marhta") == pytest.approx(0.8333333)
+    assert one(s.indel_ratio, "", "") == 1.0
+    assert one(s.indel_ratio, "a", "") == 0.0
+    assert one(s.token_sort_ratio, "b a", "a b") == 1.0
+    assert one(s.token_set_ratio, "a b c", "a b") == 1.0
+    assert one(s.token_set_ratio, "", "a") == 0.0
+    assert one(s.token_set_ratio, "abc", "abd") == pytest.approx(2 / 3)
+    assert one(s.jaro_winkler, "martha", "marhta") == pytest.approx(0.9611111)
+    assert one(s.jaro_winkler, "", "") == 1.0
+    assert one(s.jaro_winkler, "abc", "xyz") == 0.0
+
+
+def test_many_pairs():
+    a = [("x%d " % (i % 97)) * (i % 60) for i in range(5000)]
+    b = [("x%d y" % (i % 89)) * (i % 50) for i in range(5000)]
+    got = s.indel_ratio(a, b)
+    assert [got[i] for i in range(0, 5000, 501)] == pytest.approx([slow.indel_ratio(a[i], b[i]) for i in range(0, 5000, 501)])
 
 
 def test_udf(spark):
@@ -40,3 +55,4 @@ def test_udf(spark):
     assert got[0]["token_sort"] == 1.0
     assert got[1]["ratio"] == 0.0
     assert got[2]["ratio"] == 1.0
+    assert df.limit(0).select(s.similarities(F.col("a"), F.col("b")).alias("s")).collect() == []
