@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, small_batches
+from .common import lean, small_batches, stored
 from .webpbatch import decode_many, encode_rows
 
 #: Samples of a row of pixels, to a multiple of which payloads are padded; what they are padded with; most rows of an image.
@@ -117,6 +117,5 @@ def read_media(spark, path: str) -> DataFrame:
     """Digests and features of the payloads decoded from the images at path, one row a payload: payload_sha256 and tail_crc32 of what
     was read back, media_bytes and media_sha256 of its images one behind the other."""
     df = spark.read.parquet(path).select("doc_id", "n_bytes", "payload_bytes", "media")
-    with small_batches(spark, 4000, 8):
-        rows = df.mapInArrow(_features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    return rows
+    rows = df.mapInArrow(_features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored(rows, "media_rows")  # few bytes a payload; images are decoded in small batches

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, partitions_for, small_batches
+from .common import lean, partitions_for, shuffles_removed, small_batches, stored
 from .rangecoder import BLOCK, decode, encode
 from .textbytes import pieces, span_hashes
 
@@ -295,7 +295,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id
     library without further options: a text that spells a special token, as "<|endoftext|>", gets that token's id there."""
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     d = d.repartitionByRange(partitions_for(docs), "doc_id").sortWithinPartitions("doc_id", "text")
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession), shuffles_removed(docs.sparkSession):
         d.mapInArrow(_records(tokenizer, end_id), RECORD).write.option("compression", "none").parquet(path)
 
 
@@ -331,5 +331,7 @@ def read_tokens(spark, path: str, ids: bool = True) -> DataFrame:
     offsets = spark.createDataFrame(offsets, "part int, offset long")
     columns = "doc_id long, part int, at long, n_tokens long, ids_crc32 long"
     rows = df.mapInArrow(_read_back(ids), columns + ", ids array<long>" * ids)
+    if not ids:  # few bytes a document: stored, so that records are decoded in small batches
+        rows = stored(rows, "token_rows")
     out = rows.join(F.broadcast(offsets), "part").withColumn("start", F.col("at") + F.col("offset"))  # one row a partition written
     return out.select("doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * ids)
