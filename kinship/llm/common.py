@@ -52,12 +52,13 @@ def scope(spark: SparkSession):
         _made.reset(token)
 
 
-def stored(df: DataFrame, name: str, rows: int = 100) -> DataFrame:
+def stored(df: DataFrame, name: str, rows: int = 100, batch: tuple[int, int] = (1000, 4)) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts the lineage, survives lost executors, and gives the
     optimizer the size of the table, so that it broadcasts only what is under spark.sql.autoBroadcastJoinThreshold. Shuffle files of
-    the write go with its end. rows: how many the writer takes before it looks at their size, few where rows are of megabytes."""
+    the write go with its end. rows: how many the writer takes before it looks at their size, few where rows are of megabytes. batch: rows and megabytes of
+    an Arrow batch."""
     path = new_path(df.sparkSession, name)
-    with small_batches(df.sparkSession), shuffles_removed(df.sparkSession):
+    with small_batches(df.sparkSession, *batch), shuffles_removed(df.sparkSession):
         df.write.option("parquet.block.size.row.check.min", rows).option("parquet.block.size.row.check.max", 100 * rows).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -22,7 +22,7 @@ from .webpbatch import decode_many, encode_rows
 #: Samples of a row of pixels, to a multiple of which payloads are padded; what they are padded with; most rows of an image.
 UNIT, FILL, ROWS = 576, 255, 16
 #: Bytes of payload that are written, or read, at once.
-WRITTEN, READ = 1 << 20, 6 << 20
+WRITTEN, READ = 1 << 20, 10 << 20
 
 
 def padded(data: bytes) -> bytes:
@@ -66,7 +66,7 @@ def _in_runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = [(t.as_py() or "").encode() for t in b.column(1)]
-        for lo, hi in _in_runs([len(t) + UNIT for t in texts], READ):  # some megabytes go out at a time
+        for lo, hi in _in_runs([len(t) + UNIT for t in texts], 6 * WRITTEN):  # some megabytes go out at a time
             payloads = [padded(t) for t in texts[lo:hi]]
             images = [images_of(p) for p in payloads]
             flat = [x for own in images for x in own]
@@ -118,4 +118,4 @@ def read_media(spark, path: str) -> DataFrame:
     was read back, media_bytes and media_sha256 of its images one behind the other."""
     df = spark.read.parquet(path).select("doc_id", "n_bytes", "payload_bytes", "media")
     rows = df.mapInArrow(_features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    return stored(rows, "media_rows")  # few bytes a payload; images are decoded in small batches
+    return stored(rows, "media_rows", batch=(8000, 10))  # few bytes a payload; images of a batch are decoded together

@@ -358,6 +358,9 @@ def _joined(value: np.ndarray, n: np.ndarray) -> tuple[bytes, int]:
     total = int(end[-1]) if len(end) else 0
     words = np.zeros((total >> 6) + 2, np.uint64)
     shift = (at & 63).astype(np.uint64)
-    np.bitwise_or.at(words, at >> 6, value << shift)
-    np.bitwise_or.at(words, (at >> 6) + 1, (value >> np.uint64(1)) >> (np.uint64(63) - shift))
+    place = at >> 6
+    first = np.flatnonzero(np.diff(place, prepend=-1))  # the first number of each word
+    if len(first):
+        words[place[first]] = np.bitwise_or.reduceat(value << shift, first)
+        words[place[first] + 1] |= np.bitwise_or.reduceat((value >> np.uint64(1)) >> (np.uint64(63) - shift), first)
     return words.tobytes()[: (total + 7) // 8], total
