@@ -100,10 +100,10 @@ def _read_code(bits: _Bits, size: int) -> _Code:
         two, wide = bits.read(1), bits.read(1)
         first = bits.read(8 if wide else 1)
         return _simple(size, first, bits.read(8) if two else first)
-    of = [0] * 19
-    for i in range(4 + bits.read(4)):
-        of[LENGTH_ORDER[i]] = bits.read(3)
-    code = _code(tuple(of))
+    several = 4 + bits.read(4)
+    first = bits.at >> 3
+    code = _code_of_lengths(several, int.from_bytes(bits.data[first : first + 9], "little") >> (bits.at & 7) & ((1 << 3 * several) - 1))
+    bits.at += 3 * several
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     if code.only is not None and code.only < 16:  # words of no bits
         return _code((code.only,) * min(left, size) + (0,) * (size - min(left, size)))
@@ -150,6 +150,15 @@ def _code(lengths: tuple[int, ...]) -> _Code:
     return _Code(lengths)
 
 
+@functools.lru_cache(1024)
+def _code_of_lengths(several: int, value: int) -> _Code:
+    """The code in which code lengths are written, from three bits for each length of its own words."""
+    of = [0] * 19
+    for i in range(several):
+        of[LENGTH_ORDER[i]] = value >> 3 * i & 7
+    return _Code(of)
+
+
 def _number(bits: _Bits, prefix: int) -> int:
     if prefix < 4:
         return prefix + 1

@@ -26,7 +26,7 @@ _HASH = np.uint64(0x1E35A7BD)
 #: Least and most bytes of a back-reference, and bits of a code's words.
 LEAST, MOST, DEEP = 4, 4096, 12
 #: Bytes up to which references are compared all at once.
-SURE = 16
+SURE = 20
 
 
 def decode_many(files: list[bytes]) -> list[np.ndarray]:
@@ -81,21 +81,20 @@ def _lanes(images: list[tuple]) -> list[np.ndarray]:
     data = np.frombuffer(b"".join(chunks) + bytes(8), np.uint8).astype(np.uint32)
     word = data[:-3] | data[1:-2] << 8 | data[2:-1] << 16 | data[3:] << 24  # 32 bits from each byte on
     table, cache, out = np.concatenate(tables), np.zeros(slots, np.uint32), np.zeros(total, np.uint32)
-    stops, no = np.array(stops), np.arange(len(lanes))
+    stops, no, last = np.array(stops), np.arange(len(lanes)), 8 * (len(word) - 1)
     s = np.array(lanes, np.int64).T.copy()
 
     def bits_at(at: np.ndarray) -> np.ndarray:
         return (word[at >> 3] >> (at & 7).astype(np.uint32)).astype(np.int64)
 
-    def symbol(code: int, which) -> np.ndarray:
-        e = table[s[_CODES + 2 * code, which] + (bits_at(s[_AT, which]) & s[_CODES + 2 * code + 1, which])]
-        s[_AT, which] += e & 15
-        return (e >> 4).astype(np.int64)
+    def symbol(code: int, at: np.ndarray, which) -> tuple[np.ndarray, np.ndarray]:
+        """The next symbols, and the places behind them."""
+        e = table[s[_CODES + 2 * code][which] + (bits_at(at) & s[_CODES + 2 * code + 1][which])]
+        return (e >> 4).astype(np.int64), at + (e & 15)
 
-    def number(prefix: np.ndarray, which: np.ndarray) -> np.ndarray:
-        n = _LEAST[prefix] + (bits_at(s[_AT, which]) & ((1 << _WIDE[prefix]) - 1))
-        s[_AT, which] += _WIDE[prefix]
-        return n
+    def number(prefix: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        wide = _WIDE[prefix]
+        return _LEAST[prefix] + (bits_at(at) & ((1 << wide) - 1)), at + wide
 
     def remember(which: np.ndarray, at: np.ndarray) -> None:
         """Put pixels, in order, into the caches of their lanes."""
@@ -105,47 +104,66 @@ def _lanes(images: list[tuple]) -> list[np.ndarray]:
         cache[s[_CACHE, which] + slot] = out[at]  # of several, the last stays
 
     cached, colour = bool((s[_CACHE] >= 0).any()), not s[_PLAIN].all()
+    near_of = {int(w): np.maximum(1, _NEAR[:, 0] + _NEAR[:, 1] * w) for w in np.unique(s[_WIDTH])}
+    one_width = next(iter(near_of.values())) if len(near_of) == 1 else None
+    every = slice(None)
     while s.shape[1]:
-        green = symbol(0, slice(None))
+        at, to = s[_AT], s[_NEXT]
+        green, behind = symbol(0, at, every)
+        at[:] = behind
         run = np.flatnonzero(green >= 256)
-        one = np.flatnonzero(green < 256) if len(run) else np.arange(len(green))
-        if len(one):
-            value = s[_ADD, one] | green[one] << 8
-            if colour:
-                full = np.flatnonzero(s[_PLAIN, one] == 0)
-                for code, shift in ((1, 16), (2, 0), (3, 24)):
-                    value[full] |= symbol(code, one[full]) << shift
-            out[s[_NEXT, one]] = value
-            s[_NEXT, one] += 1
+        if colour:
+            full = np.flatnonzero((green < 256) & (s[_PLAIN] == 0))
+            value = s[_ADD] | green << 8
+            for code, shift in ((1, 16), (2, 0), (3, 24)):
+                more, at[full] = symbol(code, at[full], full)
+                value[full] |= more << shift
+            out[to] = value
+        else:
+            out[to] = s[_ADD] | green << 8  # where another symbol stands, its pixels come over this one
+        to += 1
         if len(run):
-            hit = run[green[run] >= 280]
-            run = run[green[run] < 280]
+            hit = run[green[run] >= 280] if cached else run[:0]
             if len(hit):
-                out[s[_NEXT, hit]] = cache[s[_CACHE, hit] + green[hit] - 280]
-                s[_NEXT, hit] += 1
+                out[to[hit] - 1] = cache[s[_CACHE, hit] + green[hit] - 280]
+                run = run[green[run] < 280]
             if len(run):
-                n = number(green[run] - 256, run)
-                d = number(symbol(4, run), run)
-                near = _NEAR[np.minimum(d, 120) - 1]
-                d = np.where(d > 120, d - 120, np.maximum(1, near[:, 0] + near[:, 1] * s[_WIDTH, run]))
-                to = s[_NEXT, run]
-                if (d > to - s[_FIRST, run]).any() or (to + n > s[_END, run]).any():
+                n, place = number(green[run] - 256, at[run])
+                d, place = symbol(4, place, run)
+                d, at[run] = number(d, place)
+                close = np.flatnonzero(d <= 120)
+                far = d[close] - 1
+                d -= 120
+                if len(close):
+                    d[close] = one_width[far] if one_width is not None else np.maximum(1, _NEAR[far, 0] + _NEAR[far, 1] * s[_WIDTH, run[close]])
+                first = to[run] - 1
+                if (d > first - s[_FIRST][run]).any() or (first + n > s[_END][run]).any():
                     raise BadWebp("a back-reference leaves the image")
-                k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                out[np.repeat(to, n) + k] = out[np.repeat(to - d, n) + k % np.repeat(d, n)]
-                s[_NEXT, run] = to + n
-                if cached:
-                    remember(np.repeat(run, n), np.repeat(to, n) + k)
-        if cached and len(one):
-            remember(one, s[_NEXT, one] - 1)
-        left = s[_NEXT] < s[_END]
+                to[run] = first + n
+                again = d < n  # the run takes up what it has written itself
+                for mine in (np.flatnonzero(~again), np.flatnonzero(again)) if again.any() else (every,):
+                    many, back = n[mine], d[mine]
+                    before = np.cumsum(many) - many
+                    k = np.arange(many.sum())
+                    places = np.repeat(first[mine] - before, many) + k
+                    if again[mine].any():
+                        k -= np.repeat(before, many)
+                        out[places] = out[places - k + k % np.repeat(back, many) - np.repeat(back, many)]
+                    else:
+                        out[places] = out[places - np.repeat(back, many)]
+                    if cached:
+                        remember(np.repeat(run[mine], many), places)
+        if cached:
+            one = np.flatnonzero((green < 256) | (green >= 280))
+            remember(one, to[one] - 1)
+        left = to < s[_END]
         if not left.all():
-            if (s[_AT] > stops[no]).any():
+            if (at > stops[no]).any():
                 raise BadWebp("the image ends too early")
             s, no = s[:, left], no[left]
-        elif (s[_AT, 0] > stops[no[0]]).any():  # the others are looked at when some lane is done
+        elif at[0] > stops[no[0]]:  # the others are looked at when some lane is done
             raise BadWebp("the image ends too early")
-        np.minimum(s[_AT], 8 * (len(word) - 1), out=s[_AT])
+        np.minimum(s[_AT], last, out=s[_AT])
     ends = np.cumsum([w * h for _, w, h, _ in images])
     return [out[e - w * h : e] for e, (_, w, h, _) in zip(ends, images, strict=True)]
 
@@ -170,62 +188,74 @@ def _tables(width: int, most: int) -> tuple:
     return _prefixes(MOST + 1), tuple(x[codes] for x in _prefixes(most + 121))
 
 
+#: Lengths of the words of a palette's steps: those of 1 and of 2 to 5 are short, the others have nine bits or ten.
+_STEPS = [10, 1, 4, 4, 4, 4, 9, 9, 9, 9, 9] + [10] * 245
+
+
+@functools.cache
+def _steps() -> tuple[int, int, list[int], list[int]]:
+    """What stands before a palette's pixels, as a number, and how many bits that is; each step's word, with the word of the alpha of
+    all but the first, and its length."""
+    out = _Out()
+    out.write(0, 1)
+    for lengths in (_STEPS + [0] * 24, [0] * 256, [0] * 256, [int(x in (0, 255)) for x in range(256)], [0] * 40):
+        _write_code(out, lengths)
+    words = words_of(_STEPS)
+    return int.from_bytes(out.bytes(), "little"), 8 * sum(map(len, out.done)) + out.n, [words[x] for x in range(256)], [n + 1 for n in _STEPS]
+
+
 @functools.lru_cache(4096)
 def _palette(colours: bytes) -> tuple[int, int]:
     """The bits of a palette of greens, as a number, and how many they are."""
-    out = _Out()
-    out.write(1, 1)
-    out.write(PALETTE, 2)
-    out.write(len(colours) - 1, 8)
-    step = np.diff(np.frombuffer(colours, np.uint8), prepend=np.uint8(0)).tolist()
-    out.write(0, 1)
-    lengths = _lengths({c: step.count(c) for c in set(step)}, 256, 15)
-    alpha = _lengths({255: 1, 0: len(step) - 1}, 256, 15)
-    for x in (lengths + [0] * 24, [0] * 256, [0] * 256, alpha, [0] * 40):
-        _write_code(out, x)
-    words, several = words_of(lengths), len(set(step)) > 1
-    for i, c in enumerate(step):
-        if several:
-            out.write(words[c], lengths[c])
-        if len(step) > 1:
-            out.write(i == 0, 1)  # of 0 and 255, the words 0 and 1
-    return int.from_bytes(out.bytes(), "little"), 8 * sum(map(len, out.done)) + out.n
-
-
-def _matches(data: np.ndarray, image: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    head, at, words, sizes = _steps()
+    value = 1 | PALETTE << 1 | (len(colours) - 1) << 3 | head << 11
+    at += 11
+    value |= (words[colours[0]] | 1 << (sizes[colours[0]] - 1)) << at  # of the alphas 0 and 255, the words 0 and 1
+    at += sizes[colours[0]]
+    for a, b in itertools.pairwise(colours):
+        value |= words[b - a] << at
+        at += sizes[b - a]
+    return value, at
+
+
+def _matches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first places, lengths, distances) of back-references inside images, from left to right, as long as what follows agrees."""
     n = len(data) - LEAST + 1
     if n < 2:
         return (np.zeros(0, np.int64),) * 3
+    tail = np.concatenate((data, np.zeros(16, np.uint8)))
+    eight = np.ndarray(len(data) + 8, np.uint64, tail.data, strides=(1,)).copy()  # eight bytes from each place on
     # The next four bytes above a place's number: sorted, places with the same four follow one another.
-    d = data.astype(np.uint64)
-    key = (d[:n] << np.uint64(24) | d[1 : n + 1] << np.uint64(16) | d[2 : n + 2] << np.uint64(8) | d[3 : n + 3]) << np.uint64(32)
-    key = np.sort(key | np.arange(n, dtype=np.uint64))
-    order = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    key = np.sort(eight[:n] << np.uint64(32) | np.arange(n, dtype=np.uint64))
+    order = key.astype(np.uint32).astype(np.int32)
     same = np.flatnonzero((key[1:] ^ key[:-1]) >> np.uint64(32) == 0)
-    same = same[image[order[same]] == image[order[same + 1]]]
-    before = np.full(n, -1)
+    before = np.full(n, -1, np.int32)
     before[order[same + 1]] = order[same]
-    at = np.flatnonzero((before >= 0) & (np.arange(n) + LEAST <= ends[image[:n]]))
+    sizes = np.diff(ends, prepend=0)
+    begin, stops = (np.repeat(x.astype(np.int32), sizes)[:n] for x in (ends - sizes, ends))
+    at = np.flatnonzero((before >= begin) & (np.arange(n, dtype=np.int32) + LEAST <= stops))
     # Lengths, up to SURE, of all places where a reference can begin; a longer one is looked at again once it is taken.
-    from_, end = before[at], ends[image[at]]
+    from_, end = before[at].astype(np.int64), stops[at].astype(np.int64)
     size, going = np.full(len(at), LEAST), np.arange(len(at))
-    i, j = at, from_
-    for m in range(LEAST, SURE):
-        on = data[np.minimum(i + m, len(data) - 1)] == data[j + m]
-        on &= i + m < end[going]
-        going, i, j = going[on], i[on], j[on]
-        size[going] += 1
+    for m in range(LEAST, SURE, 8):
+        i = at[going] + m
+        going, i = (x[i <= len(data)] for x in (going, i))
+        other = eight[i] ^ eight[from_[going] + m]
+        # The bits below the lowest that differs, in whole bytes: all 64 where none does.
+        size[going] += np.bitwise_count(~other & (other - np.uint64(1))) >> np.uint8(3)
+        going = going[other == 0]
+    np.minimum(size, np.minimum(end - at, SURE), out=size)
     reach = np.cumsum(np.bincount(at, minlength=len(data) + 1))  # the place in `at` of what begins behind a byte
-    jump, longest = reach[at + size - 1].tolist(), np.flatnonzero(size == SURE)
-    raw, taken, k, stop = data.tobytes(), [], 0, len(at)
-    for x in longest.tolist():
-        jump[x] = -1
-    take = taken.append
-    while k < stop:
-        take(k)
-        follow = jump[k]
-        if follow < 0:
+    jump = np.where(size == SURE, -1, reach[at + size - 1])
+    raw, parts = data.tobytes(), []
+    # From left to right in all images at once: each step takes the next reference of every image that has one.
+    now, stop = np.searchsorted(at, ends - sizes), np.searchsorted(at, ends)
+    now, stop = now[now < stop], stop[now < stop]
+    while len(now):
+        parts.append(now)
+        now = jump[now]
+        for x in np.flatnonzero(now < 0).tolist() if now.min() < 0 else ():
+            k = int(parts[-1][x])
             i, j, m = int(at[k]), int(from_[k]), SURE
             most = min(MOST, int(end[k]) - i)
             while m + 64 <= most and raw[j + m : j + m + 64] == raw[i + m : i + m + 64]:
@@ -233,8 +263,13 @@ def _matches(data: np.ndarray, image: np.ndarray, ends: np.ndarray) -> tuple[np.
             while m < most and raw[j + m] == raw[i + m]:
                 m += 1
             size[k] = m
-            follow = int(reach[i + m - 1])
-        k = follow
+            now[x] = reach[i + m - 1]
+        on = now < stop
+        if not on.all():
+            now, stop = now[on], stop[on]
+    if not parts:
+        return (np.zeros(0, np.int64),) * 3
+    taken = np.sort(np.concatenate(parts))
     return at[taken], size[taken], (at - from_)[taken]
 
 
@@ -307,11 +342,11 @@ def encode_rows(images: list[bytes], width: int) -> list[bytes]:
     data, image = data[mine], np.repeat(np.arange(len(rest)), sizes[rest])
     ends = np.cumsum(sizes[rest])
     index = (np.cumsum(has[rest], 1) - 1)[image, data]
-    starts, runs, back = _matches(data, image, ends)
-    inside = np.zeros(len(data) + 1, np.int32)  # what references cover, besides their first
+    starts, runs, back = _matches(data, ends)
+    inside = np.zeros(len(data) + 1, np.int8)  # what references cover, besides their first
     inside[starts + 1] += 1
-    np.subtract.at(inside, starts + runs, 1)
-    first = np.flatnonzero(np.cumsum(inside[:-1]) == 0)  # where each symbol begins
+    inside[starts + runs] -= 1  # of references that follow one another, the next begins at the end of the one before
+    first = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8) == 0)  # where each symbol begins
     of = image[first]
     lengths, distances = _tables(width, int(sizes.max()))
     green = index[first]
