@@ -129,3 +129,38 @@ def test_media_rows(spark):
     empty = new_path(spark, "media")
     media.write_media(docs.limit(0), empty)
     assert media.read_media(spark, empty).count() == 0
+
+
+def plain_matches(data, ends):
+    """References from left to right, each to the last place of its image where the same four bytes began."""
+    out, begin = [], 0
+    for end in ends:
+        last, refs_at = {}, begin
+        for i in range(begin, end):
+            four = data[i : i + 4]
+            j = last.get(four)
+            if i + 4 <= end:
+                if i == refs_at and j is not None:
+                    m = 4
+                    while m < webpbatch.MOST and i + m < end and data[j + m] == data[i + m]:
+                        m += 1
+                    out.append((i, m, i - j))
+                    refs_at = i + m
+                last[four] = i
+            if i == refs_at:
+                refs_at = i + 1
+        begin = end
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_references_against_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    images = []
+    for n in rng.integers(1, 400, 9).tolist() + [4, 5, 9000]:
+        piece = rng.integers(0, 2 + seed % 5 * 3, n, dtype=np.uint8).tobytes()
+        at = int(rng.integers(0, n))
+        images.append((piece + piece[at : at + int(rng.integers(3, 30))] + piece[: n // 2])[:9216])
+    data, ends = b"".join(images), np.cumsum([len(x) for x in images])
+    got = webpbatch._matches(np.frombuffer(data, np.uint8), ends)
+    assert list(zip(*(x.tolist() for x in got), strict=True)) == plain_matches(data, ends.tolist())
