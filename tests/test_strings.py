@@ -56,3 +56,16 @@ def test_udf(spark):
     assert got[1]["ratio"] == 0.0
     assert got[2]["ratio"] == 1.0
     assert df.limit(0).select(s.similarities(F.col("a"), F.col("b")).alias("s")).collect() == []
+
+
+def test_places_looked_up_are_those_compared(monkeypatch):
+    import numpy as np
+
+    from kinship.functions import strings
+
+    r = np.random.default_rng(1)
+    x, y = r.integers(0, 30, (40, 128)).astype(np.uint8), r.integers(0, 30, (40, 70)).astype(np.uint8)
+    looked_up = [strings._places(x, y)(j) for j in range(70)]
+    monkeypatch.setattr(strings, "_TABLE", 0)
+    assert np.array_equal(looked_up, [strings._places(x, y)(j) for j in range(70)])
+    assert np.array_equal(np.unpackbits(np.ascontiguousarray(np.array(looked_up[69]).T).view(np.uint8), axis=1, bitorder="little").astype(bool), x == y[:, 69:])
