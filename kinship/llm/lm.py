@@ -9,7 +9,9 @@ below and m the strength of smoothing, the arc of word w from state h weighs
 and its failure arc, to the state without the oldest word, which reads nothing, weighs log10(m / (c(h) + m)), so that each state's
 words sum to 1. The root's words weigh log10((c(w) + 0.5) / (N + 0.5 (V + 1))); a word that training lacks leads back to the root. A
 text is read once from left to right, from the state of a text's begin; its end is a word. Reading a word from a state, failure arcs
-are followed until a state has an arc for it. All texts of a chunk are read side by side, each carrying its state.
+are followed until a state has an arc for it. The state after a word is where the arc of the longest n-gram that ends there leads; so
+all words of a chunk are read at once, each from the state that is expected before it, and those reads are the walk if each leads to
+the state expected after it. A text of which one does not is walked word by word.
 
 The automaton grows with the corpus and is never in one place. Texts are packed into chunks of some megabytes, in the order of the
 table. Each chunk sends the distinct n-grams of its texts, with their counts in its training texts, to buckets by the n-gram's hash,
@@ -41,6 +43,8 @@ from .textbytes import combined, pieces, word_hashes
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Bytes of text in a chunk, unless one text has more, and megabytes of the table that a bucket answers for.
 CHUNK, BUCKET_MB = 4 << 20, 6
+#: Words that are read at once.
+_AT_ONCE = 1 << 17
 CHUNKS = "chunk long, doc_id array<long>, held_out array<boolean>, size array<long>, texts binary"
 ASKED = "bucket long, n int, chunk long, size long, keys binary, counts binary"
 _ASKED = [c.split()[0] for c in ASKED.split(", ")]
@@ -263,6 +267,7 @@ class Automaton:
     fail_weight: np.ndarray
     unknown: float  #: the weight of a word that the root has no arc for
     start: int
+    expected: np.ndarray | None = None  #: the state expected after each token of the texts that it was made for
 
     def read(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(state after, weight) of reading a word from a state, for many at once."""
@@ -296,6 +301,7 @@ def automaton(grams: list[np.ndarray], counts: list[np.ndarray], row: np.ndarray
     fail, fail_weight = np.zeros(base[-1], np.int64), np.zeros(base[-1])
     seen = np.zeros(base[-1])  # how often training reads a word from a state
     keys, weights, targets = [], [], []
+    expected = np.zeros(len(row), np.int64)
     below = None
     for n in range(1, order + 1):
         g, c = grams[n - 1], counts[n - 1].astype(float)
@@ -321,17 +327,37 @@ def automaton(grams: list[np.ndarray], counts: list[np.ndarray], row: np.ndarray
         keys.append((state * max(1, len(counts[0])) + word)[has])
         weights.append(np.log10(p[has]))
         targets.append(own[has])
+        expected = np.where(has[g], own[g], expected)
         below = p
         root = p if n == 1 else root  # noqa: F821
     key = np.concatenate(keys)
     by = np.argsort(key)
     unknown = float(np.log10(0.5 / (tokens + 0.5 * (words + 1))))
     start = int(base[order - 2]) if order > 1 else 0
-    return Automaton(max(1, len(counts[0])), key[by], np.concatenate(weights)[by], np.concatenate(targets)[by], fail, fail_weight, unknown, start), root
+    return Automaton(max(1, len(counts[0])), key[by], np.concatenate(weights)[by], np.concatenate(targets)[by], fail, fail_weight, unknown, start, expected), root
 
 
 def walked(a: Automaton, word: np.ndarray, row: np.ndarray, texts: int) -> np.ndarray:
     """The log10 probability of each text, whose words lie one after the other, read from left to right with the state carried on."""
+    if a.expected is None:
+        return _stepped(a, word, row, texts)
+    before = np.full(len(row), a.start)
+    same = row[1:] == row[:-1]
+    before[1:][same] = a.expected[:-1][same]
+    weight, wrong = np.empty(len(row)), np.zeros(texts, bool)
+    for lo in range(0, len(row), _AT_ONCE):
+        own = slice(lo, lo + _AT_ONCE)
+        to, weight[own] = a.read(before[own], word[own])
+        wrong[row[own][to != a.expected[own]]] = True
+    score = np.bincount(row, weight, texts)
+    if wrong.any():
+        again = wrong[row]
+        score[wrong] = _stepped(a, word[again], (np.cumsum(wrong) - 1)[row[again]], int(wrong.sum()))
+    return score
+
+
+def _stepped(a: Automaton, word: np.ndarray, row: np.ndarray, texts: int) -> np.ndarray:
+    """walked(), a word of all texts at a time."""
     size = np.bincount(row, minlength=texts)
     begin = np.cumsum(size) - size
     longest = np.argsort(-size, kind="stable")

@@ -139,3 +139,19 @@ def test_more_words_raise_the_score_of_the_known(spark):
     docs = spark.createDataFrame([(i, "the cat sat on the mat") for i in range(40)], DOCS)
     r = lm.lm_scores(docs, lm.every_fifth(F.col("doc_id"))).first()
     assert r["score"] > r["base_score"]
+
+
+def test_words_read_at_once_are_the_walk(monkeypatch):
+    """All words are read in few calls, to the same scores as word by word; a text read from a wrong state is walked again."""
+    rng = np.random.default_rng(5)
+    size = rng.integers(1, 40, 60)
+    row, trains = np.repeat(np.arange(60), size), np.repeat(rng.random(60) < 0.6, size)
+    h = rng.zipf(1.5, len(row)).astype(np.uint64)
+    found = list(lm._counted(h, row, trains, 3, {}))
+    counts = [np.bincount(g.number, trains, len(g.keys)).astype(np.int64) for g in found]
+    a, _ = lm.automaton([g.number for g in found], counts, row, int(trains.sum()), 9, 36, [20.0, 4.0])
+    want, calls, read = lm._stepped(a, found[0].number, row, 60), [], lm.Automaton.read
+    monkeypatch.setattr(lm.Automaton, "read", lambda self, state, word: calls.append(1) or read(self, state, word))
+    assert np.array_equal(lm.walked(a, found[0].number, row, 60), want) and len(calls) == 1
+    a.expected[::7] = a.start
+    assert np.array_equal(lm.walked(a, found[0].number, row, 60), want) and len(calls) > 1
