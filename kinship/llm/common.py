@@ -157,13 +157,24 @@ def released() -> None:
         trim(0)
 
 
+_kept: dict[str, dict] = {}
+
+
+def kept(module: str) -> dict:
+    """What the functions of a module keep in this worker from task to task; what those of others kept is let go."""
+    for other in [m for m in _kept if m != module]:
+        del _kept[other]
+    return _kept.setdefault(module, {})
+
+
 def lean(run):
     """A function of Arrow batches that releases memory at its end: workers stay, idle, beside those of the next stage. Arrow allocates
-    by the C library, whose memory can be given back."""
+    by the C library, whose memory can be given back. What other modules keep is let go at its begin."""
 
     @functools.wraps(run)
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())
+        kept(run.__module__)
         try:
             yield from run(batches)
         finally:

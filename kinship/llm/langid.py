@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import lean, released
+from .common import kept, lean, released
 from .textbytes import LOWER, pieces
 
 BITS, DIM, GRAMS = 15, 16, (2, 3, 4)
@@ -210,6 +210,7 @@ def judged(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     langs = model.langs
 
     def run(column: pa.Array) -> pa.Array:
+        kept(__name__)
         m = held.value
         best, score = [], []
         if langs:

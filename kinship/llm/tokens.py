@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, partitions_for, shuffles_removed, small_batches, stored
+from .common import kept, lean, partitions_for, shuffles_removed, small_batches, stored
 from .rangecoder import BLOCK, decode, encode
 from .textbytes import pieces, span_hashes
 
@@ -91,7 +91,7 @@ def odd(data: np.ndarray) -> np.ndarray:
 class _Table:
     """64-bit keys to numbers from 0 on, in open addressing, many at a time."""
 
-    def __init__(self, bits: int = 21):
+    def __init__(self, bits: int = 20):
         self.bits, self.key, self.number, self.n = bits, np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32), 0
 
     def find(self, keys: np.ndarray) -> np.ndarray:
@@ -139,7 +139,7 @@ class ByteBpe:
     such as the end of a text: the library gives that token's id for it, also with add_special_tokens=False.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
         from tokenizers import Tokenizer
 
@@ -259,13 +259,17 @@ class ByteBpe:
         return next(iter(self.batch(pa.array([text], pa.string()))))
 
 
-_held: dict[str, ByteBpe] = {}
+def encoder(path: str) -> ByteBpe:
+    """The worker's encoder of a file, which knows the pieces of its earlier tasks. A function of the module, as one inside another is
+    sent with copies of the globals that it reads, and keeps nothing."""
+    mine = kept(__name__)
+    return mine.get(path) or mine.setdefault(path, ByteBpe(path))
 
 
 def _records(path: str, end_id: int):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _held.get(path) or _held.setdefault(path, ByteBpe(path))
+        bpe = encoder(path)
         part, before, held, docs, many = TaskContext.get().partitionId(), 0, 0, [], []
 
         def record() -> pa.RecordBatch:

@@ -92,3 +92,18 @@ def test_empty_table(spark, vocabulary):
     path = new_path(spark, "tokens")
     tk.write_tokens(spark.createDataFrame([], "doc_id long, text string"), path, vocabulary, 2)
     assert tk.read_tokens(spark, path).count() == 0
+
+
+def test_workers_keep_what_they_have_learned():
+    """The function that Spark sends, as it arrives in a worker, finds the encoder of the task before; other modules let go of it."""
+    import public_tokenizers
+    from pyspark import cloudpickle
+
+    from kinship.llm import common, tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    sent = cloudpickle.dumps(tokens._records(path, 2))
+    first, again = (cloudpickle.loads(sent).__wrapped__.__globals__["encoder"](path) for _ in range(2))
+    assert first is again is tokens.encoder(path)
+    common.kept("another")
+    assert tokens.encoder(path) is not first
