@@ -1,7 +1,7 @@
 import pytest
 
 from kinship import registry
-from kinship.operators import model
+from kinship.operators import blocking, model
 
 
 @pytest.fixture
@@ -20,3 +20,11 @@ def test_importances_are_of_all_pairs_of_a_large_key(spark, tables, monkeypatch)
     assert registry.queries()["feature_importance"](spark, tables).count() == len(registry._COLUMNS)
     pairs = {(r["s1_id"], r["tgt_id"]) for r in seen[0].collect()}
     assert pairs == {(f"S1-{s}", f"S{2 + t % 2}-{t}") for s in (0, 1) for t in range(2, 152)} and seen[0].count() == 300
+
+
+def test_pairs_that_meet_at_keys_are_those_of_the_union(spark, tables, monkeypatch):
+    """Tiles of few records, and the supplied tables: the same rows as by candidates, joined records and truth."""
+    monkeypatch.setattr(blocking, "_TILE", 7)
+    for d in (tables, "/root/testdata/sf0.001"):
+        got, want = ([tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in f.collect()] for f in (registry._all_train_pairs(spark, d), registry._train_pairs(spark, d, registry.WHOLE)))
+        assert sorted(got) == sorted(want) and len(want) > 100 and any(r[2] for r in want) == (d != tables)
